@@ -116,19 +116,20 @@ def _encode(text: str) -> tuple[list[str], list[str], list[np.ndarray]]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, source, kind, n_chars, word, prefix hash, sequence hashes) of the open texts."""
+    """(k, source, kind, n_chars, order of the whole last sentence, prefix hash, sequence hashes)."""
     for batch in batches:
         rows = []
         for k, source, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
             bare, kind = ending(text)
             if not kind:
                 continue
-            w, _, seqs = _encode(bare)
+            w, after, seqs = _encode(bare)
             last = w[-1] if w else ""
-            rows.append((k, source, kind, len(text), last, _hash("p:" + last), [int(s[-1].astype(np.int64)) for s in seqs] if w else []))
+            lead = next((j for j, a in enumerate(reversed(after[:-1])) if a == "e"), len(after) - 1) + 2
+            rows.append((k, source, kind, len(text), lead, _hash("p:" + last), [int(s[-1].astype(np.int64)) for s in seqs] if w else []))
         cols = list(zip(*rows)) if rows else [[]] * 7
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], list("ksgnwph"))
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], list("ksgndph"))
 
 
 def _filter(values: np.ndarray) -> np.ndarray:
@@ -187,14 +188,16 @@ DECISION = "k string, truncated boolean, reason string"
 
 
 def _decide(rate: float):
-    def one(kind: str, spike: bool, whole: int, node: int, seqs: list[tuple[int, int, int]]) -> tuple[bool, str]:
-        """seqs: (goes on, ends, texts that end so) by order, from 1."""
+    def one(kind: str, spike: bool, lead: int, whole: int, node: int, seqs: list) -> tuple[bool, str]:
+        """seqs: (goes on, ends, texts that end so) by order, from 1; lead: that of the last sentence."""
         if kind in ("broken", "explicit"):
             return True, kind
         if not seqs:
             return False, "no word"
         cut_word = whole == 0 and node > 0
-        for k, (on, end, final) in enumerate(seqs[: 1 if cut_word else 3]):
+        for k, (on, end, final) in enumerate(seqs):
+            if k and (cut_word or k + 1 != lead):
+                continue
             known = on + end + (node if k == 0 else 0)
             if kind != "comma" and final >= CASUAL and final > CASUAL_LIFT * rate * (known + 1):
                 return False, "casual"
@@ -215,10 +218,10 @@ def _decide(rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, g, spike, node, seqs in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for k, g, spike, lead, node, seqs in zip(*(batch.column(c).to_pylist() for c in range(6))):
                 rows = [(s["went"], s["ended"], s["final"]) for s in sorted(seqs or [], key=lambda s: s["o"])]
                 whole = rows[0][0] + rows[0][1] if rows else 0
-                out.append((k, *one(g, bool(spike), whole, node or 0, rows)))
+                out.append((k, *one(g, bool(spike), lead, whole, node or 0, rows)))
             cols = list(zip(*out)) if out else [[]] * 3
             types = [pa.string(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["k", "truncated", "reason"])
@@ -234,7 +237,7 @@ def detect(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     rows = texts.select("k", "source", "text").filter(F.length("text") > 0)
-    schema = T.StructType.fromDDL("k string, s string, g string, n long, w string, p long, h array<long>")
+    schema = T.StructType.fromDDL("k string, s string, g string, n long, d long, p long, h array<long>")
     open_ends = cut(rows.mapInArrow(_candidates, schema), "open")
     asked = open_ends.select(F.explode(F.concat("h", F.array("p"))).alias("h")).distinct()
 
@@ -275,7 +278,7 @@ def detect(texts: DataFrame) -> DataFrame:
         open_ends.join(nodes, "p", "left").join(seqs, "k", "left")
         .join(near, [open_ends["s"].eqNullSafe(near["source"]), open_ends["n"] == near["limit"]], "left")
     )
-    ready = joined.select("k", "g", F.col("limit").isNotNull().alias("spike"), "node", "seqs")
+    ready = joined.select("k", "g", F.col("limit").isNotNull().alias("spike"), "d", "node", "seqs")
     return ready.mapInArrow(_decide(rate), DECISION)
 
 
