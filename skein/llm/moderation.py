@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.visual import LOOK_ALIKES
+from skein.llm.visual import INVISIBLE, LOOK_ALIKES
 
 #: Labelled records the index is fitted on at most, taken in the order of a hash of their ids.
 MAX_LABELLED = 20_000
@@ -28,6 +28,8 @@ MAX_LABELLED = 20_000
 MAX_CALIBRATION = 2_000
 #: Neighbours that vote, and the least cosine of a neighbour.
 NEIGHBOURS, RADIUS = 10, 0.33
+#: Cosine of the nearest case from which a stretch can score at all.
+CASE_RADIUS = 0.5
 #: Mean rating from which a labelled record counts as a case.
 CASE_RATING = 1.5
 BLOCK = 64
@@ -54,11 +56,13 @@ _SUSPECT = re.compile(r"[0-9@$]\w*[^\W\d_]|[^\W\d_]\*|\*[^\W\d_]|([^\W\d_])\1\1|
 LEET = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"})
 
 
+_LOOKS = str.maketrans(LOOK_ALIKES) | dict.fromkeys(INVISIBLE)
+
+
 def _plain(text: str) -> str:
     """Lower case, without markup, look-alike letters as Latin ones."""
     if not text.isascii():
-        text = "".join(LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFKC", text))
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        text = unicodedata.normalize("NFKC", text).translate(_LOOKS)
     text = text.lower()
     return _TAG.sub(" ", text) if _MARKED.search(text) else text
 
@@ -156,7 +160,7 @@ class Index:
         return np.searchsorted(owner, np.arange(len(lists) + 1)), ids, w
 
     def may_be_case(self, at: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Whether any case can lie within the radius: the bound over the blocks of cases."""
+        """Whether any case can lie within CASE_RADIUS: the bound over the blocks of cases."""
         out = np.zeros(len(at) - 1, bool)
         if not self.case_top.shape[1]:
             return out
@@ -166,7 +170,7 @@ class Index:
                 part = slice(at[a], at[min(a + 1000, len(out))])
                 terms = self.case_top[ids[part]]
                 terms *= w[part, None]
-                out[rows] = np.add.reduceat(terms, at[rows] - at[a]).max(1) >= RADIUS
+                out[rows] = np.add.reduceat(terms, at[rows] - at[a]).max(1) >= CASE_RADIUS
         return out
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
@@ -197,6 +201,9 @@ class Index:
         return list(zip(cos[best].tolist(), doc[best].tolist()))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
+        """Share of the votes that speak for a case; none without a case in CASE_RADIUS."""
+        if not any(c >= CASE_RADIUS and self.cases[k] > 0 for c, k in found):
+            return 0.0
         weight = [c * c * int(self.records[k]) for c, k in found]
         cases = sum(x * float(self.cases[k]) for x, (_, k) in zip(weight, found))
         return cases / (sum(weight) + DAMPING)

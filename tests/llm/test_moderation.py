@@ -1,6 +1,6 @@
 import numpy as np
 
-from skein.llm.moderation import RADIUS, Index, calibrated, fit, monotone, score, undisguise
+from skein.llm.moderation import CASE_RADIUS, RADIUS, Index, calibrated, fit, monotone, score, undisguise
 
 NICE = ["the pump hums at night", "a red bike needs new tyres", "we moved the old kettle", "my sister likes the garden"]
 RUDE = ["you are a worthless idiot", "shut up you stupid moron", "go away you filthy rat", "you stupid worthless rat"]
@@ -31,7 +31,7 @@ def test_nearest_is_exact():
         tenth = np.sort(cos)[-10]
         want = {k for k in np.flatnonzero(cos >= max(tenth - 1e-6, RADIUS))}
         assert {k for _, k in got} == want
-        any_case = (cos[index.cases > 0] >= RADIUS + 1e-6).any()
+        any_case = (cos[index.cases > 0] >= CASE_RADIUS + 1e-6).any()
         if any_case:
             assert index.may_be_case(np.array([0, len(ids)]), ids, w)[0]
 
