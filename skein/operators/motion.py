@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from skein.functions.series import dip_recover, head_tail_delta, kept, late_mean
 from skein.functions.vectors import clip, finite
 from skein.operators.clouds import cloud_series
 from skein.operators.orderparams import dispersion, effective_dim, radial_curve
+from skein.session import cut
 
 # The motions in their order and the bounds of their raw scores.
 MOTIONS = ("translation", "diffusion", "condensation", "fission", "crystallization", "vortex", "orbit", "breathing", "cascade", "filamentation")
@@ -39,7 +44,8 @@ def features(rows: DataFrame) -> DataFrame:
     c = F.col
     sigma = kept(c("sigma"))
     low = F.array_min(sigma)
-    return rows.withColumns(
+    # written, as later expressions use every feature many times
+    out = rows.withColumns(
         {
             "m_leave": 1 - F.coalesce("s_end", F.element_at("sims", -1)),
             "m_wave": dip_recover(c("sims")),
@@ -55,6 +61,7 @@ def features(rows: DataFrame) -> DataFrame:
             "chi_late_std": std(tail(kept(c("chi")), 3)),
         }
     )
+    return cut(out, "features")
 
 
 def robust_scale(rows: DataFrame, column: str) -> DataFrame:
@@ -126,19 +133,23 @@ def motion_weights(rows: DataFrame, scales: dict[str, float], temperature: float
     """
     check_scales(scales, temperature)
     raw = raw_scores(scales)
-    out = rows.withColumns({f"r_{m}": raw[m] for m in MOTIONS})
-    fit = {m: (F.col(f"r_{m}") - lo) / (hi - lo) for m, (lo, hi) in zip(MOTIONS, BOUNDS)}
-    out = out.withColumns({f"c_{m}": fit[m] for m in MOTIONS})
-    top = F.greatest(*[F.col(f"c_{m}") for m in MOTIONS])
-    out = out.withColumns({f"x_{m}": F.exp((F.col(f"c_{m}") - top) / temperature) for m in MOTIONS})
-    all_x = sum((F.col(f"x_{m}") for m in MOTIONS[1:]), F.col(f"x_{MOTIONS[0]}"))
-    out = out.withColumns({f"w_{m}": F.col(f"x_{m}") / all_x for m in MOTIONS})
-    best = F.lit(None).cast("string")
-    for m in reversed(MOTIONS):  # equal weights: the first in order
-        best = F.when(F.col(f"c_{m}") == top, F.lit(m)).otherwise(best)
-    entropy = -sum((F.col(f"w_{m}") * F.ln(f"w_{m}") for m in MOTIONS[1:]), F.col(f"w_{MOTIONS[0]}") * F.ln(f"w_{MOTIONS[0]}"))
-    out = out.withColumns({"dominant_motion": best, "entropy": entropy / F.ln(F.lit(10.0)), "resolved": F.col("n_windows") >= 4})
-    return out.drop(*[f"{p}_{m}" for m in MOTIONS for p in ("c", "x")])
+    out = rows.withColumns({f"r_{m}": raw[m] for m in MOTIONS}).withColumn("resolved", F.col("n_windows") >= 4)
+    low, high = (np.array(x, float) for x in zip(*BOUNDS))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # as one expression per weight the softmax would repeat every score a thousand times
+        for f in frames:
+            c = (f[[f"r_{m}" for m in MOTIONS]].to_numpy(float) - low) / (high - low)
+            w = np.exp((c - c.max(1, keepdims=True)) / temperature) if len(c) else c
+            w = w / w.sum(1, keepdims=True)
+            new = {f"w_{m}": w[:, k] for k, m in enumerate(MOTIONS)}
+            best = np.array(MOTIONS, object)[c.argmax(1)] if len(c) else []
+            entropy = -(w * np.log(np.maximum(w, 1e-300))).sum(1) / np.log(10)
+            yield f.assign(**new, dominant_motion=best, entropy=entropy)
+
+    more = "".join(f", w_{m} double" for m in MOTIONS) + ", dominant_motion string, entropy double"
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in out.schema) + more
+    return out.mapInPandas(run, schema)
 
 
 def nine_class(rows: DataFrame, scales: dict[str, float]) -> DataFrame:

@@ -80,11 +80,11 @@ FROM t LEFT JOIN per ON per.post_id = t.post_id""", None),
   busy AS (SELECT post_id FROM c GROUP BY 1 HAVING count(*) > 20)
 SELECT author, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM busy WHERE busy.post_id = c.post_id) GROUP BY 1""", None),
     "merge_first_wins": ("comments", """
-SELECT id, min_by(score, retrieved_at) AS score, unix_micros(min(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1""",
-        """SELECT id, first(score ORDER BY retrieved_at) AS score, epoch_us(min(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1"""),
+SELECT id, CAST(min_by(score, retrieved_at) AS STRING) AS score, unix_micros(min(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1""",
+        """SELECT id, CAST(first(score ORDER BY retrieved_at) AS VARCHAR) AS score, epoch_us(min(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1"""),
     "merge_last_wins": ("comments", """
-SELECT id, max_by(score, retrieved_at) AS score, unix_micros(max(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1""",
-        """SELECT id, first(score ORDER BY retrieved_at DESC) AS score, epoch_us(max(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1"""),
+SELECT id, CAST(max_by(score, retrieved_at) AS STRING) AS score, unix_micros(max(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1""",
+        """SELECT id, CAST(first(score ORDER BY retrieved_at DESC) AS VARCHAR) AS score, epoch_us(max(retrieved_at)) AS retrieved_us FROM (SELECT id, retrieved_at, max(score) AS score FROM {comments} GROUP BY 1, 2) x GROUP BY 1"""),
     "replay_audit": ("comments sim_comments", """
 WITH h AS (SELECT DISTINCT post_id, id, author FROM {comments}),
 s AS (SELECT DISTINCT post_id, position, comment_id, author, body, error FROM {sim_comments}),
