@@ -72,7 +72,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """
     spark = docs.sparkSession
     want = {r["source"]: (r["target_share"] or 0.0, int(r["max_repeats"] or 0)) for r in targets.distinct().collect()}
-    rows = docs.filter(F.col("source").isin(list(want)) & (F.col("n_tokens") > 0))
+    rows = docs.select("doc_id", "source", "n_tokens").filter(F.col("source").isin(list(want)) & (F.col("n_tokens") > 0))
     totals = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     size, rate = rates(totals, want)
     steps = {s: thresholds(r, want[s][1]) for s, r in rate.items()}

@@ -42,7 +42,7 @@ def test_plan_equals_item_by_item(seed):
 
 def test_pack(spark):
     rows = [(k, (k * 37) % 23) for k in range(400)] + [(900, 130), (901, None), (902, 0), (903, 5), (903, 5)]
-    df = spark.createDataFrame(rows, "id long, size long")
+    df = spark.createDataFrame(rows, "id long, size long").withColumns({"n": F.lit("clash"), "piece": F.lit(7), "rank": F.lit(1)})
     got = pack(df, "id", "size", [20, 50]).collect()
     assert sum(r.n for r in got) == sum(s or 0 for _, s in rows)
     assert {r.id for r in got if r.n_pieces > 1} == {900}
@@ -64,6 +64,7 @@ def test_rank_within_hot_group(spark):
 def test_mixture(spark):
     rows = [(k, "abc"[k % 7 % 3], 50 + k % 100) for k in range(3000)] + [(9001, None, 5), (9002, "zz", 5), (9003, "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    docs = docs.withColumns({"goal": F.lit("clash"), "steps": F.lit(1), "uses": F.lit(None), "copy": F.lit(0)})
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 4), ("c", 0.15, 1), ("gone", 0.05, 3)], "source string, target_share double, max_repeats int")
     mixture = mix(docs, targets)
     got = {r.source: r for r in report(docs, mixture, targets).collect()}
