@@ -24,8 +24,6 @@ from skein.llm.visual import INVISIBLE, LOOK_ALIKES
 
 #: Labelled records the index is fitted on at most, taken in the order of a hash of their ids.
 MAX_LABELLED = 20_000
-#: Labelled records the calibration is fitted on at most.
-MAX_CALIBRATION = 2_000
 #: Neighbours that vote, and the least cosine of a neighbour.
 NEIGHBOURS, RADIUS = 10, 0.33
 #: Cosine of the nearest case from which a stretch can score at all.
@@ -268,36 +266,35 @@ def fit(texts: list[str], ratings: list[float]) -> tuple[Index, list[tuple[float
         first.cases = clean[[docs_at[d] for d in first.docs]].astype(np.float32) if docs else clean
     index = Index(docs, clean, [len(holders[d]) for d in docs])
     place = {d: k for k, d in enumerate(index.docs)}
-    pick = sorted(range(len(records)), key=lambda k: (not case[k], k))
-    half = MAX_CALIBRATION // 2
-    pick = pick[:half] + pick[half:][-half:]
-    raw = []
-    for k in pick:
-        score = 0.0
-        for d in records[k]:
-            at = place[d]
-            ids, w = index.vector(d)
-            if index.may_be_case(np.array([0, len(ids)]), ids, w)[0]:
-                score = max(score, index.vote(index.nearest(ids, w, skip=at if index.records[at] == 1 else -1)))
-        raw.append((score, float(case[k])))
+    scores = [0.0] * len(records)
+    parts = [(k, d) for k, docs_k in enumerate(records) for d in docs_k]
+    at, ids, w = index.vectors([d for _, d in parts])
+    for j in np.flatnonzero(index.may_be_case(at, ids, w)):
+        k, own = parts[j][0], place[parts[j][1]]
+        one = slice(at[j], at[j + 1])
+        found = index.nearest(ids[one], w[one], skip=own if index.records[own] == 1 else -1)
+        scores[k] = max(scores[k], index.vote(found))
+    raw = [(s, float(y)) for s, y in zip(scores, case)]
     return index, monotone(raw, len(records), sum(case))
 
 
 def monotone(raw: list[tuple[float, float]], total: int, cases: int) -> list[tuple[float, float]]:
     """Steps (score from, probability), never falling: pooled adjacent violators.
 
-    Harmless records are weighted up to their number among all labelled ones.
+    Cases and harmless records are each weighted up to their number among all labelled ones.
     """
     kept = sum(y for _, y in raw)
-    up = (total - cases) / max(1.0, len(raw) - kept)
+    up, up_case = (total - cases) / max(1.0, len(raw) - kept), cases / max(1.0, kept)
+    ties: dict[float, list[float]] = {}  # score -> weight, weight of cases
+    for s, y in raw:
+        w = up_case if y else up
+        tie = ties.setdefault(s, [0.0, 0.0])
+        tie[0] += w
+        tie[1] += w * y
     pools: list[list[float]] = []  # score from, weight, weight of cases
-    for s, y in sorted(raw):
-        w = 1.0 if y else up
-        if pools and pools[-1][0] == s:
-            pools[-1][1] += w
-            pools[-1][2] += y
-        else:
-            pools.append([s, w, y])
+    # equal scores are one step, so none of them can join the step before without the others
+    for s, (w, y) in sorted(ties.items()):
+        pools.append([s, w, y])
         while len(pools) > 1 and pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]:
             _, w2, y2 = pools.pop()
             pools[-1][1] += w2

@@ -49,6 +49,15 @@ def test_monotone():
     assert [p for _, p in steps] == sorted(p for _, p in steps)
 
 
+def test_calibration_takes_all_records():
+    # cases come first, as the keys of one table do: 1,800 of 2,400 records of one text are cases
+    texts = ["you stupid rusty kettle"] * 1800 + [NICE[0]] * 600 + ["you stupid rusty kettle"] * 600
+    index, steps = fit(texts, [3.0] * 1800 + [0.0] * 1200)
+    vote = index.vote(index.nearest(*index.vector(index.tokens(texts[0]))))
+    assert abs(calibrated(vote, steps) - 0.75) < 0.01
+    assert [p for _, p in monotone([(0.5, 1)] * 10 + [(0.5, 0)] * 10, 60, 40)] == [2 / 3]
+
+
 def test_tables(spark):
     texts = spark.createDataFrame(
         [("a", "The pump hums at night."), ("b", "You are a w0rthless id.iot!"), ("c", None), ("d", ""), ("e", NICE[1])]
