@@ -26,8 +26,8 @@ from skein.llm.visual import INVISIBLE, LOOK_ALIKES
 MAX_LABELLED = 20_000
 #: Neighbours that vote, and the least cosine of a neighbour.
 NEIGHBOURS, RADIUS = 10, 0.33
-#: Cosine of the nearest case from which a stretch can score at all.
-CASE_RADIUS = 0.5
+#: Cosine of the nearest case from which a stretch can score at all: any neighbour counts.
+CASE_RADIUS = RADIUS
 #: Mean rating from which a labelled record counts as a case.
 CASE_RATING = 1.5
 BLOCK = 64
@@ -119,7 +119,8 @@ class Index:
             ids, w = self.vector(d)
             self.ids[k, : len(ids)], self.weights[k, : len(ids)] = ids, w
             np.maximum.at(self.top[:, k // BLOCK], ids, w)
-        held = np.flatnonzero(self.cases > 0)
+        held = np.flatnonzero(self.cases > 0)  # the first docs
+        self.held = len(held)
         self.lanes = np.arange(BLOCK)
         self.case_top = np.zeros((len(self.vocab) + 1, -(-len(held) // CASE_BLOCK)), np.float32)
         for k, d in enumerate(held):
@@ -158,23 +159,43 @@ class Index:
         return np.searchsorted(owner, np.arange(len(lists) + 1)), ids, w
 
     def may_be_case(self, at: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Whether any case can lie within CASE_RADIUS: the bound over the blocks of cases."""
-        out = np.zeros(len(at) - 1, bool)
+        """Whether any case lies within CASE_RADIUS; others can have no vote for a case."""
+        return self.best_case(at, ids, w) > 0
+
+    def best_case(self, at: np.ndarray, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosine of the nearest case, 0 beyond CASE_RADIUS.
+
+        Lists that pass the bound over the blocks of cases are compared with the cases of the
+        blocks that pass.
+        """
+        out = np.zeros(len(at) - 1, np.float32)
         if not self.case_top.shape[1]:
             return out
+        least = CASE_RADIUS - 1e-5  # sums in another order differ by rounding
+        dense = np.zeros(len(self.vocab) + 1, np.float32)
+        lanes = self.lanes[:CASE_BLOCK]
         for a in range(0, len(out), 1000):
             rows = a + np.flatnonzero(np.diff(at[a : a + 1001]) > 0)
             if len(rows):
                 part = slice(at[a], at[min(a + 1000, len(out))])
                 terms = self.case_top[ids[part]]
                 terms *= w[part, None]
-                out[rows] = np.add.reduceat(terms, at[rows] - at[a]).max(1) >= CASE_RADIUS
+                bound = np.add.reduceat(terms, at[rows] - at[a])
+                for k in np.flatnonzero(bound.max(1) >= least):
+                    one = slice(at[rows[k]], at[rows[k] + 1])
+                    dense[ids[one]] = w[one]
+                    docs = (np.flatnonzero(bound[k] >= least)[:, None] * CASE_BLOCK + lanes).ravel()
+                    docs = docs[docs < self.held]
+                    cos = (dense[self.ids[docs]] * self.weights[docs]).sum(1)
+                    out[rows[k]] = cos.max() if cos.max() >= least else 0
+                    dense[ids[one]] = 0
         return out
 
-    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1, best_case: float = 1.0) -> list[tuple[float, int]]:
         """Exact (cosine, doc) of the nearest docs within the radius, best first.
 
-        ``skip`` leaves out a doc that only one record holds: that record itself.
+        ``skip`` leaves out a doc that only one record holds: that record itself. Nothing comes
+        back once all neighbours are nearer than ``best_case``: no case is among them.
         """
         bound = w @ self.top[ids]
         dense = np.zeros(len(self.vocab) + 1, np.float32)
@@ -195,13 +216,13 @@ class Index:
                 # ties at the edge stay in, so the result doesn't depend on the order of blocks
                 floor = np.partition(cos, -NEIGHBOURS)[-NEIGHBOURS] - np.float32(1e-6)
                 cos, doc = cos[cos >= floor], doc[cos >= floor]
+                if floor > best_case + 1e-5:
+                    return []
         best = np.lexsort((doc, -cos))
         return list(zip(cos[best].tolist(), doc[best].tolist()))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
-        """Share of the votes that speak for a case; none without a case in CASE_RADIUS."""
-        if not any(c >= CASE_RADIUS and self.cases[k] > 0 for c, k in found):
-            return 0.0
+        """Share of the votes that speak for a case."""
         weight = [c * c * int(self.records[k]) for c, k in found]
         cases = sum(x * float(self.cases[k]) for x, (_, k) in zip(weight, found))
         return cases / (sum(weight) + DAMPING)
@@ -269,10 +290,11 @@ def fit(texts: list[str], ratings: list[float]) -> tuple[Index, list[tuple[float
     scores = [0.0] * len(records)
     parts = [(k, d) for k, docs_k in enumerate(records) for d in docs_k]
     at, ids, w = index.vectors([d for _, d in parts])
-    for j in np.flatnonzero(index.may_be_case(at, ids, w)):
+    best_case = index.best_case(at, ids, w)
+    for j in np.flatnonzero(best_case):
         k, own = parts[j][0], place[parts[j][1]]
         one = slice(at[j], at[j + 1])
-        found = index.nearest(ids[one], w[one], skip=own if index.records[own] == 1 else -1)
+        found = index.nearest(ids[one], w[one], skip=own if index.records[own] == 1 else -1, best_case=best_case[j])
         scores[k] = max(scores[k], index.vote(found))
     raw = [(s, float(y)) for s, y in zip(scores, case)]
     return index, monotone(raw, len(records), sum(case))
@@ -325,9 +347,10 @@ def _scorer(shared, detail: bool):
                 lists.append(part)
                 owner.append(k)
         at, ids, w = index.vectors(lists)
-        for j in np.flatnonzero(index.may_be_case(at, ids, w)):
+        best_case = index.best_case(at, ids, w)
+        for j in np.flatnonzero(best_case):
             one = slice(at[j], at[j + 1])
-            found = index.nearest(ids[one], w[one])
+            found = index.nearest(ids[one], w[one], best_case=best_case[j])
             if found:
                 vote = index.vote(found)
                 if vote > memo[parts[owner[j]]][0]:

@@ -58,6 +58,18 @@ def test_calibration_takes_all_records():
     assert [p for _, p in monotone([(0.5, 1)] * 10 + [(0.5, 0)] * 10, 60, 40)] == [2 / 3]
 
 
+def test_case_among_unseen_words_scores():
+    index, _ = fit([f"{a}. {b}." for a in NICE for b in NICE] + RUDE * 3, [0.0] * 16 + [3.0] * 12)
+    for unseen in range(8, 20):
+        ids, w = index.vector(["you", "stupid", "worthless", "rat", *(f"new{chr(97 + k)}" for k in range(unseen))])
+        found = index.nearest(ids, w)
+        seen = bool(found) and RADIUS <= found[0][0] < 0.5
+        if seen:
+            assert index.may_be_case(np.array([0, len(ids)]), ids, w)[0] and index.vote(found) > 0
+            break
+    assert seen
+
+
 def test_tables(spark):
     texts = spark.createDataFrame(
         [("a", "The pump hums at night."), ("b", "You are a w0rthless id.iot!"), ("c", None), ("d", ""), ("e", NICE[1])]
