@@ -133,18 +133,20 @@ NAME = re.compile(
     rf"|{_NO}({_CAP}),[ ]{_GIVEN}\b(?![ ](?:[A-Z]\.[ ])?{_PARTICLE}[A-ZÀ-Þ][\w'’-]{{3,}}ez?\b))"
 )
 
-#: What a text must hold for any of the detectors to fire; RE2 patterns over whole columns.
+#: What a text must hold for any of the detectors to fire; RE2 patterns over whole columns. Texts
+#: that normalise() may change pass whole (last two), others hold what a detector asks for.
 _NEEDED = (
-    r"[@＠]|&#64;|&commat;|\sAT\s|[\[({<]\s*(?:at|arroba)\s*[\])}>]|\bdot\b",
-    r"[0-9]{6}|[0-9][ ./()-]{1,2}[0-9]|[0-9]{2}-[0-9]|[A-Z]{2,3} ?[0-9]{5}|[A-Z][0-9]{6}",
+    r"[@＠]|&#64;|&commat;|\sAT\s|[\[({<]\s*(?:at|AT|arroba)\s*[\])}>]|\bdot\b",
+    r"[0-9]{6}|[0-9][ ./()-]{1,2}[0-9]|[0-9]{2}-[0-9]|[A-Z]{2,3} ?[0-9]{5}|[A-Z][0-9]{6}|[0-9](?:[A-Z .-]*[0-9]){4}",
     r"(?i)\b(?:st|street|road|rd|lane|ln|avenue|ave|drive|dr|terrace|close|crescent|court|ct|way"
     r"|place|square|gardens|grove|boulevard|blvd|mews|rue|bd|chemin|impasse|quai|calle|avenida|avda"
-    r"|plaza|paseo|camino|ronda)\b|allée|C/ |Travesía|(?:straße|strasse|str\.|gasse|weg|platz|allee"
+    r"|plaza|paseo|camino|ronda)\b|allée|C/\s|Travesía|(?:straße|strasse|str\.|gasse|weg|platz|allee"
     r"|ufer|damm)\s[0-9]",
     rf"(?i)\b(?:{_DIGIT})[\s,;.-]{{1,2}}(?:{_DIGIT})[\s,;.-]{{1,2}}(?:{_DIGIT})[\s,;.-]",
     rf"\b(?:{'|'.join(GIVEN)})\b|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?"
     r"|Sra?|Sir|Doña)\b",
-    r"[\x{ff01}-\x{ff5e}\x{200b}-\x{200f}\x{2060}\x{feff}\x{ad}\x{391}-\x{3a9}\x{3bf}\x{3bd}\x{400}-\x{4ff}]",
+    r"[^\x00-\x7f]|[\x0b\x1c-\x1f]",
+    r"</?[a-zA-Z]|&(?:amp;)?(?:lt|#60);|&(?:#46|period|nbsp);|\\(?:textbf|textit|emph|underline|text)\{|\}|\*|~~|''|`|>!|!<|\[\[|\]\]|\]\(https?:",
 )
 
 

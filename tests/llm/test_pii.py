@@ -57,3 +57,18 @@ def test_tables(spark):
     assert by["4"].text.endswith("words [EMAIL]")
     assert sorted({(r.id, r.type) for r in pii_types(df, "id", "t").collect()}) == [("3", "email"), ("4", "email")]
     assert pii_types(df.limit(0), "id", "t").count() == 0
+
+
+DISGUISED = [
+    "name[AT]host[DOT]com", "name [ät] host [punkt] de", "call 555\u20110100", "call\u00a0555\u00a0010\u00a00199", "call 555\u20130100",
+    "call \u0665\u0665\u0665-\u0660\u0661\u0662\u0664", "call 5**5**5-0124", "passport A1B2C3D4E5", "Calle\x0bMayor 5", "C/\nMayor 5",
+]
+
+
+def test_filter_lets_all_found_through(spark):
+    assert [s for s in DISGUISED if not find(s)] == []
+    df = spark.createDataFrame([(str(k), s) for k, s in enumerate(DISGUISED + CLEAN)], "id string, t string")
+    got = {r.id: r for r in replace_pii(df, "id", "t").collect()}
+    for k, s in enumerate(DISGUISED + CLEAN):
+        assert got[str(k)].text == redact(s, find(s))
+    assert {r.id for r in pii_types(df, "id", "t").collect()} == {str(k) for k in range(len(DISGUISED))}
