@@ -202,6 +202,17 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
     on = ring.select("scope", F.col("up").alias("id"), F.lit(True).alias("on")).distinct()
     least = ring.select("scope", F.col("id").alias("up"), F.col("least").alias("cycle_id"))
     circled = ring.join(least, ["scope", "up"]).join(on, ["scope", "id"], "left")
+    circled = circled.select("scope", "id", "cycle_id", F.coalesce("on", F.lit(False)).alias("on"))
+    if left and paths:
+        circled = cut(circled, "circled")
+        # without the circles, what hangs on them is trees; each circle holds its whole component
+        hanging = known.join(circled.filter(~F.col("on")), ["scope", "id"], "left_semi")
+        size = _double(hanging, True).select("scope", "id", "n_descendants")
+        whole = circled.groupBy("scope", "cycle_id").agg(F.count("*").alias("whole"))
+        circled = circled.join(size, ["scope", "id"], "left").join(whole, ["scope", "cycle_id"])
+        circled = circled.withColumn("n_descendants", F.when(F.col("on"), F.col("whole")).otherwise(F.col("n_descendants")))
+    else:
+        circled = circled.withColumn("n_descendants", F.lit(None).cast("long"))
     trees = state.filter(F.col("up").isNull())
     if paths:
         below = trees.select(
@@ -223,10 +234,8 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
         circled.select(
             "scope", "id", none.cast("array<string>").alias("path"),
             none.cast("long").alias("depth"), none.cast("string").alias("root"),
-            none.cast("long").alias("n_descendants"), "cycle_id",
-            (F.coalesce("on", F.lit(False)) & (F.col("id") == F.col("cycle_id"))).alias(
-                "back_edge"
-            ),
+            "n_descendants", "cycle_id",
+            (F.col("on") & (F.col("id") == F.col("cycle_id"))).alias("back_edge"),
         )
     )
 
@@ -268,8 +277,8 @@ def hierarchies(
       the circle; ``back_edge`` marks the one node per circle whose parent link closes it.
     * An empty table gives an empty result. Other columns of ``rows`` are ignored, whatever
       their names.
-    * ``n_descendants`` is null for circles of scopes above ``max_local_rows`` and, without
-      ``paths``, for all of such scopes.
+    * ``n_descendants`` of a node on a circle counts the whole component, itself included. Without
+      ``paths`` it is null for scopes above ``max_local_rows``.
     """
     spark = rows.sparkSession
     slim = rows.select(

@@ -69,6 +69,14 @@ def test_deep_chain_and_descendants(spark):
         assert got["0699"] == (699, 0, 700) and got["0000"] == (0, 699, 1)
 
 
+def test_both_routes_count_descendants_alike(spark):
+    rows = random_rows(3) + [("q", n, p, 0) for n, p in [("x", "y"), ("y", "x"), ("a", "y"), ("b", "a"), ("c", "b"), ("d", "a")]]
+    rows = list({(s, n): (s, n, p, k) for s, n, p, k in rows}.values())  # one parent each
+    counts = [{(r.scope, r.id): r.n_descendants for r in run(spark, rows, max_local_rows=limit).collect()} for limit in (10**6, 3)]
+    assert counts[0] == counts[1]
+    assert {k: v for k, v in counts[1].items() if k[0] == "q"} == {("q", n): v for n, v in zip("xyabcd", (6, 6, 3, 1, 0, 0))}
+
+
 def test_empty_and_self_link(spark):
     assert run(spark, []).count() == 0
     assert run(spark, [("a", "x", "x", 0)]).collect()[0].cycle_id == "x"
