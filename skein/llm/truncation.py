@@ -24,13 +24,18 @@ from skein.session import cut
 
 #: Longest word sequence that is looked up, and the occurrences it must have to decide.
 ORDER, ENOUGH = 6, 4
-#: Bits of the filter that keeps sequences nobody asks for out of the shuffle; a full filter only
-#: lets more of them through.
-FILTER_BITS = 1 << 23
+#: Bits for each sequence asked for, and the most bits (16 MB), of the filter that keeps sequences
+#: nobody asks for out of the shuffle. It changes no result: a full filter lets more of them through.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Parts into which the texts of one ending are split in joins.
+SALTS = 8
 #: An ending is casual if texts end in it this often, and this many times as often as chance cuts.
 CASUAL, CASUAL_LIFT = 3, 3.0
-#: A length is a limit if so many texts of a source have it, so many times as many as next to it.
-SPIKE, SPIKE_LIFT = 5, 5.0
+#: A length is a limit if it has so many times as many texts of its source as the lengths next to
+#: it, and more than chance gives them: by so many standard deviations of a Poisson count.
+SPIKE_LIFT, SPIKE_SIGMA = 5.0, 4.0
+#: Occurrences of the words before the last one that tell whether the last one may follow whole.
+CONTEXT = 20
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
 _END = re.compile(r"[.!?…:;。]|\n")
@@ -39,16 +44,32 @@ _MARK = re.compile(r"\s*(?:\[(?:…|\.\.\.)\]|\((?:…|\.\.\.)\)|…|\.\.\.)$")
 _EMOJI = re.compile(r"[\s☀-➿️‍\U0001F000-\U0001FAFF]+$")
 _BROKEN = re.compile("�+$")
 
-_memo: dict[str, int] = {}
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[.!?…:;。\n\0]")
+#: Hashes of tokens that are no words: the end of a sentence, the end of a text.
+_STOP, _BREAK = 0, 1
+
+
+class _Hashes(dict):
+    """Token -> hash; numbers count as one word."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        if token == "\0":
+            h = _BREAK
+        elif len(token) == 1 and _END.match(token):
+            h = _STOP
+        else:
+            h = xxhash.xxh64_intdigest("0" if token[0].isdigit() else token) >> 1
+        self[token] = h
+        return h
+
+
+_hashes = _Hashes()
 
 
 def _hash(word: str) -> int:
-    h = _memo.get(word)
-    if h is None:
-        if len(_memo) > 500_000:
-            _memo.clear()
-        h = _memo[word] = xxhash.xxh64_intdigest(word) >> 1
-    return h
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 _START = _hash("^")
@@ -115,8 +136,26 @@ def _encode(text: str) -> tuple[list[str], list[str], list[np.ndarray]]:
     return w, after, _sequences(hashes, opens)
 
 
+def _encode_all(texts: list[str]) -> tuple[Counter, np.ndarray, list[np.ndarray]]:
+    """Of many texts at once: counts of words, which words end sentences, sequences by order.
+
+    The last word of a text without an end sign tells nothing and is left out.
+    """
+    tokens = _TOKEN.findall("\0".join([t.replace("\0", " ") for t in texts]).lower() + "\0")
+    h = np.array([_hashes[t] for t in tokens], np.uint64)
+    word = h > _BREAK
+    opens = np.concatenate([[True], ~word[:-1]])
+    nxt = np.concatenate([h[1:], [_BREAK]])
+    kept = word & (nxt != _BREAK)
+    counts = Counter(t for t, k in zip(tokens, kept.tolist()) if k)
+    # the words left out come last in their texts, so no other word's sequence holds them
+    return counts, nxt[kept] == _STOP, [s[kept[word]] for s in _sequences(h[word], opens[word])]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, source, kind, n_chars, order of the whole last sentence, prefix hash, sequence hashes)."""
+    """(k, source, kind, n_chars, order of the whole last sentence, prefix hash, sequence hashes,
+    hashes of the sequences that lead up to the last word).
+    """
     for batch in batches:
         rows = []
         for k, source, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
@@ -126,79 +165,88 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, after, seqs = _encode(bare)
             last = w[-1] if w else ""
             lead = next((j for j, a in enumerate(reversed(after[:-1])) if a == "e"), len(after) - 1) + 2
-            rows.append((k, source, kind, len(text), lead, _hash("p:" + last), [int(s[-1].astype(np.int64)) for s in seqs] if w else []))
-        cols = list(zip(*rows)) if rows else [[]] * 7
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], list("ksgndph"))
+            own = [int(s[-1].astype(np.int64)) for s in seqs] if w else []
+            # of order 0 nothing leads up; nothing does across the beginning of a sentence either
+            before = [0] + [int(s[-2].astype(np.int64)) for s in seqs[:-1]] if len(w) > 1 and after[-2] == "w" else [0] * len(own)
+            rows.append((k, source, kind, len(text), lead, _hash("p:" + last), own, before))
+        cols = list(zip(*rows)) if rows else [[]] * 8
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], list("ksgndphb"))
+
 
+def _filter(asked: DataFrame) -> tuple[np.ndarray, int]:
+    """(filter, bits) of the hashes in ``asked``; its words are put together by the executors."""
+    n = asked.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * n - 1).bit_length()))
+    at = F.pmod("h", F.lit(bits))
+    words = asked.groupBy(F.shiftright(at, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 32) as int))")).alias("w"))
+    t = words.toArrow()  # as many rows as the filter has words, 4 million at most
+    out = np.zeros(bits >> 5, np.uint32)
+    out[t["at"].to_numpy()] = t["w"].to_numpy().astype(np.uint32)
+    return out, bits
 
-def _filter(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[values.astype(np.uint64) % np.uint64(FILTER_BITS)] = True
-    return bits
+
+def _passes(words: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(bits - 1)
+    return (words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
 def _counter(shared):
     """Counts of asked-for sequences (goes on, ends) and trie nodes over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        asked, bits = shared.value
         seen: Counter = Counter()
-        went: list[np.ndarray] = []
-        ended: list[np.ndarray] = []
-        tokens = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w, after, seqs = _encode(text)
-                if after and after[-1] == "x":  # the open last word tells nothing
-                    w, after, seqs = w[:-1], after[:-1], [s[:-1] for s in seqs]
-                if not w:
-                    continue
-                tokens += len(w)
-                seen.update(w)
-                flat = np.concatenate(seqs)
-                hit = asked[flat % np.uint64(FILTER_BITS)] & (flat != 0)
-                if hit.any():
-                    ends = np.tile(np.array([a == "e" for a in after]), ORDER)
-                    went.append(flat[hit & ~ends])
-                    ended.append(flat[hit & ends])
+            words, ends, seqs = _encode_all(batch.column(0).to_pylist())
+            seen.update(words)
+            flat = np.concatenate(seqs)
+            hit = (flat != 0) & _passes(asked, bits, flat)
+            ends = np.tile(ends, ORDER)
+            parts = []
+            for kind, which in ((0, hit & ~ends), (1, hit & ends)):
+                h, n = np.unique(flat[which], return_counts=True)
+                parts.append((h.astype(np.int64), n, kind))
+            parts.append((np.array([-1]), np.array([sum(words.values())]), 2))
+            yield _counts(parts)
         nodes: Counter = Counter()
         for word, n in seen.items():
-            for k in range(1, len(word)):
-                h = _hash("p:" + word[:k])
-                if asked[h % FILTER_BITS]:
-                    nodes[h] += n
-        parts = []
-        for kind, arrays in ((0, went), (1, ended)):
-            if arrays:
-                h, n = np.unique(np.concatenate(arrays), return_counts=True)
-                parts.append((h.astype(np.int64), n, kind))
-        if nodes:
-            parts.append((np.array(list(nodes), np.int64), np.array(list(nodes.values())), 0))
-        parts.append((np.array([-1]), np.array([tokens]), 2))
-        h = np.concatenate([p[0] for p in parts])
-        n = np.concatenate([p[1] for p in parts])
-        kind = np.concatenate([np.full(len(p[0]), p[2], np.int32) for p in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind), pa.array(n, pa.int64())], ["h", "kind", "n"])
+            if not word[0].isdigit():
+                for k in range(1, len(word)):
+                    nodes[_hash("p:" + word[:k])] += n
+        h = np.fromiter(nodes.keys(), np.uint64, len(nodes))
+        hit = _passes(asked, bits, h)
+        yield _counts([(h[hit].astype(np.int64), np.fromiter(nodes.values(), np.int64, len(nodes))[hit], 0)])
 
     return run
 
 
+def _counts(parts: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    h = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[1] for p in parts])
+    kind = np.concatenate([np.full(len(p[0]), p[2], np.int32) for p in parts])
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], ["h", "kind", "n"])
+
+
 DECISION = "k string, truncated boolean, reason string"
 
 
 def _decide(rate: float):
     def one(kind: str, spike: bool, lead: int, whole: int, node: int, seqs: list) -> tuple[bool, str]:
-        """seqs: (goes on, ends, texts that end so) by order, from 1; lead: that of the last sentence."""
+        """seqs: (goes on, ends, texts that end so, what leads up to it goes on) by order, from 1.
+
+        lead: the order of the whole last sentence; node: how often words go on from the last one.
+        """
         if kind in ("broken", "explicit"):
             return True, kind
         if not seqs:
             return False, "no word"
         cut_word = whole == 0 and node > 0
-        for k, (on, end, final) in enumerate(seqs):
+        for k, (on, end, final, before) in enumerate(seqs):
             if k and (cut_word or k + 1 != lead):
                 continue
-            known = on + end + (node if k == 0 else 0)
+            # how often a cut could have left just this ending: wherever its first words stand
+            known = max(on + end + (node if k < 2 else 0), before)
             if kind != "comma" and final >= CASUAL and final > CASUAL_LIFT * rate * (known + 1):
                 return False, "casual"
         if whole == 0 or node > 50 * whole:
@@ -207,7 +255,12 @@ def _decide(rate: float):
             return spike, "unknown at a limit" if spike else "unknown"
         if kind == "comma":
             return True, "open comma"
-        for on, end, _ in reversed(seqs):
+        for on, end, _, before in reversed(seqs):
+            if on + end >= ENOUGH:
+                break
+            if not on + end and before >= CONTEXT and node:
+                return True, "prefix in its place"
+        for on, end, _, _ in reversed(seqs):
             if on + end >= ENOUGH:
                 share = end / (on + end)
                 if 0.35 < share < 0.65:
@@ -219,7 +272,7 @@ def _decide(rate: float):
         for batch in batches:
             out = []
             for k, g, spike, lead, node, seqs in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                rows = [(s["went"], s["ended"], s["final"]) for s in sorted(seqs or [], key=lambda s: s["o"])]
+                rows = [(s["went"], s["ended"], s["final"], s["before"]) for s in sorted(seqs or [], key=lambda s: s["o"])]
                 whole = rows[0][0] + rows[0][1] if rows else 0
                 out.append((k, *one(g, bool(spike), lead, whole, node or 0, rows)))
             cols = list(zip(*out)) if out else [[]] * 3
@@ -237,21 +290,10 @@ def detect(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     rows = texts.select("k", "source", "text").filter(F.length("text") > 0)
-    schema = T.StructType.fromDDL("k string, s string, g string, n long, d long, p long, h array<long>")
+    schema = T.StructType.fromDDL("k string, s string, g string, n long, d long, p long, h array<long>, b array<long>")
     open_ends = cut(rows.mapInArrow(_candidates, schema), "open")
-    asked = open_ends.select(F.explode(F.concat("h", F.array("p"))).alias("h")).distinct()
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            total |= _filter(batch.column(0).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(total).tobytes()], pa.binary())], ["b"])
-
-    # a filter of fixed size per task, whatever the number of candidates
-    merged = np.zeros(FILTER_BITS, bool)
-    for r in asked.coalesce(8).mapInArrow(bits, "b binary").toLocalIterator():
-        merged |= np.unpackbits(np.frombuffer(r["b"], np.uint8)).astype(bool)
-    shared = spark.sparkContext.broadcast(merged)
+    asked = open_ends.select(F.explode(F.concat("h", "b", F.array("p"))).alias("h")).filter("h <> 0")
+    shared = spark.sparkContext.broadcast(_filter(asked))
     counts = rows.select("text").mapInArrow(_counter(shared), "h long, kind int, n long")
     counts = cut(
         counts.groupBy("h").agg(
@@ -263,15 +305,18 @@ def detect(texts: DataFrame) -> DataFrame:
     )
     tokens = counts.filter("h = -1").agg(F.sum("tokens")).collect()[0][0] or 1
     rate = open_ends.count() / tokens
-    # what each sequence does elsewhere, and in how many texts it stands at the open end
-    long = open_ends.select("k", F.posexplode("h").alias("o", "h")).filter("h <> 0")
-    finals = long.groupBy("h").agg(F.count("*").alias("final"))
-    known = finals.join(counts, "h", "left")
-    seqs = long.join(known, "h").groupBy("k").agg(
-        F.collect_list(
-            F.struct("o", F.coalesce("went", F.lit(0)).alias("went"), F.coalesce("ended", F.lit(0)).alias("ended"), "final")
-        ).alias("seqs")
-    )
+    # what each sequence does elsewhere, in how many texts it stands at the open end, and how often
+    # the words before its last one go on
+    long = open_ends.select("k", F.posexplode(F.arrays_zip("h", "b")).alias("o", "x")).select("k", "o", "x.h", "x.b").filter("h <> 0")
+    finals = long.groupBy("h", "b").agg(F.count("*").alias("final"))
+    leading = counts.select(F.col("h").alias("b"), F.col("went").alias("before"))
+    known = finals.join(counts, "h", "left").join(leading, "b", "left")
+    nought = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    # many texts have one ending: it is looked up once, and its texts spread over salts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    known = known.select("h", nought("went"), nought("ended"), "final", nought("before"), salts.alias("salt"))
+    salted = long.select("k", "o", "h", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int").alias("salt"))
+    seqs = salted.join(known, ["h", "salt"]).groupBy("k").agg(F.collect_list(F.struct("o", "went", "ended", "final", "before")).alias("seqs"))
     nodes = counts.select(F.col("h").alias("p"), F.col("went").alias("node"))
     near = _limits(rows)
     joined = (
@@ -290,5 +335,6 @@ def _limits(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("at") != F.col("limit"), F.col("n")).otherwise(0)).alias("beside"),
         F.sum(F.when(F.col("at") == F.col("limit"), F.col("n")).otherwise(0)).alias("n"),
     )
-    spikes = near.filter((F.col("n") >= SPIKE) & (F.col("n") >= SPIKE_LIFT * F.col("beside") / 6))
+    usual = F.col("beside") / 6
+    spikes = near.filter((F.col("n") >= SPIKE_LIFT * usual) & (F.col("n") >= usual + 1 + SPIKE_SIGMA * F.sqrt(usual + 1)))
     return spikes.select("source", F.col("at").alias("limit"))
