@@ -2,8 +2,10 @@
 
 Rows of one scope (a post) are co-located when the scope is small enough for a task; a task
 finds the connected components of each scope and walks every component depth first with node
-colouring. Scopes above ``max_local_rows`` never enter one task: their components are resolved
-by pointer doubling over joins on the node id, in about log2(depth) rounds.
+colouring. Of scopes above ``max_local_rows`` the components are found by pointer doubling over
+joins on the node id, in about log2(depth) rounds; each component is then co-located and walked
+in the same way. Only a component that exceeds a task by itself gets its paths by doubling too.
+All routes give the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.session import cut
+from skein.session import cut, release
 
 #: Rows of one scope that a single task may hold (some 100 bytes each in Python).
 MAX_LOCAL_ROWS = 200_000
@@ -30,8 +32,11 @@ NODE_SCHEMA = T.StructType(
         T.StructField("n_descendants", T.LongType()),
         T.StructField("cycle_id", T.StringType()),
         T.StructField("back_edge", T.BooleanType()),
+        T.StructField("below", T.ArrayType(T.StringType())),
     ]
 )
+#: Path entries that a task holds before it gives rows out; paths of a deep tree take far more.
+FLUSH = 2_000_000
 
 _ARROW = pa.schema(
     [
@@ -43,6 +48,7 @@ _ARROW = pa.schema(
         ("n_descendants", pa.int64()),
         ("cycle_id", pa.string()),
         ("back_edge", pa.bool_()),
+        ("below", pa.list_(pa.string())),
     ]
 )
 
@@ -68,112 +74,100 @@ def components(parent: list[int]) -> list[list[int]]:
     return list(groups.values())
 
 
-def traverse(ids: list[str], parent: list[int], paths: bool = True) -> list[tuple]:
-    """(path, depth, root, n_descendants, cycle_id, back_edge) of every node.
+def traverse(ids: list[str], parent: list[int], paths: bool = True) -> Iterator[tuple]:
+    """(id, path, depth, root, n_descendants, cycle_id, back_edge, below) of every node.
 
     A component of a graph with one parent per node is either a tree (one node without a
     parent) or one circle with trees below it. Trees are walked from the root; in the others a
-    walk up the parents colours nodes grey until it meets a grey one, which closes the circle.
+    walk up the parents colours nodes grey until it meets a grey one, which closes the circle,
+    and what hangs on it is walked from the nodes next to the circle. One path is kept at a time.
     """
-    n = len(ids)
-    children: list[list[int]] = [[] for _ in range(n)]
+    children: list[list[int]] = [[] for _ in ids]
     for x, p in enumerate(parent):
         if p >= 0:
             children[p].append(x)
-    out: list[tuple] = [()] * n
     for nodes in components(parent):
-        root = next((x for x in nodes if parent[x] < 0), -1)
-        if root < 0:
+        on: set[int] = set()
+        starts = [x for x in nodes if parent[x] < 0]
+        if not starts:
             grey: dict[int, int] = {}
             x = nodes[0]
             while x not in grey:
                 grey[x] = len(grey)
                 x = parent[x]
-            circle = [y for y, k in grey.items() if k >= grey[x]]
-            cycle = min(ids[y] for y in circle)
-            on = set(circle)
-            size = dict.fromkeys(nodes, 0)
-            for y in _postorder(circle, children, on):
-                size[y] = sum(size[c] + 1 for c in children[y] if c not in on)
-            # every node of a circle lies below every other one and itself
-            whole = sum(size[y] + 1 for y in circle)
-            for y in nodes:
-                back = y in on and ids[y] == cycle
-                out[y] = (None, None, None, whole if y in on else size[y], cycle, back)
-            continue
-        stack, order = [root], []
-        depth, path = {root: 0}, {root: [ids[root]]}
+            on = {y for y, k in grey.items() if k >= grey[x]}
+            starts = [c for y in on for c in children[y] if c not in on]
+        cycle = min((ids[y] for y in on), default=None)
+        order, stack = [], list(starts)
         while stack:
             x = stack.pop()
             order.append(x)
-            for c in children[x]:
-                depth[c] = depth[x] + 1
-                if paths:
-                    path[c] = [*path[x], ids[c]]
-                stack.append(c)
+            stack.extend(children[x])
         size = dict.fromkeys(order, 0)
         for x in reversed(order):
-            if parent[x] >= 0:
+            if parent[x] in size:
                 size[parent[x]] += size[x] + 1
+        # every node of a circle lies below every other one and itself
+        for y in on:
+            yield ids[y], None, None, None, len(nodes) if paths else None, cycle, ids[y] == cycle, None
+        way: list[str] = []
+        level = dict.fromkeys(starts, 0)
         for x in order:
-            out[x] = (path[x] if paths else None, depth[x], ids[root], size[x], None, False)
-    return out
-
-
-def _postorder(starts: list[int], children: list[list[int]], on: set[int]) -> list[int]:
-    order, stack = [], list(starts)
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack.extend(c for c in children[x] if c not in on)
-    return order[::-1]
+            d = level.pop(x)
+            del way[d:]
+            way.append(ids[x])
+            for c in children[x]:
+                level[c] = d + 1
+            n = size[x] if paths else None
+            if on:
+                yield ids[x], None, None, None, n, cycle, False, list(way) if paths else None
+            else:
+                yield ids[x], list(way) if paths else None, d, way[0], n, None, False, None
 
 
 def _walk(paths: bool):
     """mapInArrow function over batches sorted by scope; a scope may span several batches."""
 
-    def emit(scopes, rows) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip([scopes, *cols], _ARROW.types)], schema=_ARROW
-        )
-
-    def finish(scope, ids, parents, scopes, rows) -> None:
-        at: dict[str, int] = {}
-        keep: list[str] = []
-        for x, p in zip(ids, parents):
-            if x not in at:
-                at[x] = len(keep)
-                keep.append(p)
-        names = list(at)
-        link = [at.get(p, -1) if p is not None else -1 for p in keep]
-        for name, row in zip(names, traverse(names, link, paths)):
-            scopes.append(scope)
-            rows.append((name, *row))
+    def emit(scopes: list, rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([scopes, *cols], _ARROW.types)], schema=_ARROW)
+
+    def finish(scope: str, least: dict) -> Iterator[pa.RecordBatch]:
+        names, at = list(least), {x: k for k, x in enumerate(least)}
+        link = [at.get(p, -1) if p is not None else -1 for p in least.values()]
+        scope, rows, held = scope.split(_PART)[0], [], 0
+        for row in traverse(names, link, paths):
+            rows.append(row)
+            held += 8 + len(row[1] or row[7] or ())
+            if held > FLUSH:
+                yield emit([scope] * len(rows), rows)
+                rows, held = [], 0
+        if rows:
+            yield emit([scope] * len(rows), rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parents = None, [], []
+        now, least = None, {}
         for batch in batches:
-            scopes, rows = [], []
             for s, i, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if s != now:
-                    if ids:
-                        finish(now, ids, parents, scopes, rows)
-                    now, ids, parents = s, [], []
-                ids.append(i)
-                parents.append(p)
-            yield emit(scopes, rows)
-        if ids:
-            scopes, rows = [], []
-            finish(now, ids, parents, scopes, rows)
-            yield emit(scopes, rows)
+                    if least:
+                        yield from finish(now, least)
+                    now, least = s, {}
+                other = least.get(i)
+                least[i] = p if other is None or (p is not None and p < other) else other
+        if least:
+            yield from finish(now, least)
 
     return run
 
 
+#: What parts a scope from the name of a component in keys.
+_PART = "\u0001"
+
+
 def _double(nodes: DataFrame, paths: bool) -> DataFrame:
     """Pointer doubling for scopes of any size; ``nodes`` has scope, id, parent."""
-    known = nodes.groupBy("scope", "id").agg(F.min("parent").alias("parent"))
+    known = cut(nodes.groupBy("scope", "id").agg(F.min("parent").alias("parent")), "nodes")
     there = known.select("scope", F.col("id").alias("parent"), F.lit(True).alias("there"))
     state = known.join(there, ["scope", "parent"], "left").select(
         "scope",
@@ -196,7 +190,7 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
     # What is still open never ends: it hangs on a circle. A few more rounds make the pointers
     # of all of it lie on the circle and the running minimum span the circle.
     rounds = max(1, left.bit_length() + 1) if left else 0
-    ring = state.filter(F.col("up").isNotNull())
+    ring = cut(state.filter(F.col("up").isNotNull()), "ring") if left else state.filter(F.col("up").isNotNull())
     for _ in range(max(0, rounds - total)):
         ring = _round(ring, False)
     on = ring.select("scope", F.col("up").alias("id"), F.lit(True).alias("on")).distinct()
@@ -207,12 +201,12 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
         circled = cut(circled, "circled")
         # without the circles, what hangs on them is trees; each circle holds its whole component
         hanging = known.join(circled.filter(~F.col("on")), ["scope", "id"], "left_semi")
-        size = _double(hanging, True).select("scope", "id", "n_descendants")
+        size = _double(hanging, True).select("scope", "id", "n_descendants", F.col("path").alias("below"))
         whole = circled.groupBy("scope", "cycle_id").agg(F.count("*").alias("whole"))
         circled = circled.join(size, ["scope", "id"], "left").join(whole, ["scope", "cycle_id"])
         circled = circled.withColumn("n_descendants", F.when(F.col("on"), F.col("whole")).otherwise(F.col("n_descendants")))
     else:
-        circled = circled.withColumn("n_descendants", F.lit(None).cast("long"))
+        circled = circled.withColumn("n_descendants", F.lit(None).cast("long")).withColumn("below", F.lit(None).cast("array<string>"))
     trees = state.filter(F.col("up").isNull())
     if paths:
         below = trees.select(
@@ -227,7 +221,7 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
         (F.coalesce("n_descendants", F.lit(0)) if paths else F.col("n_descendants")).alias(
             "n_descendants"
         ),
-        F.lit(None).cast("string").alias("cycle_id"), F.lit(False).alias("back_edge"),
+        F.lit(None).cast("string").alias("cycle_id"), F.lit(False).alias("back_edge"), F.lit(None).cast("array<string>").alias("below"),
     )
     none = F.lit(None)
     return out.unionByName(
@@ -235,7 +229,7 @@ def _double(nodes: DataFrame, paths: bool) -> DataFrame:
             "scope", "id", none.cast("array<string>").alias("path"),
             none.cast("long").alias("depth"), none.cast("string").alias("root"),
             "n_descendants", "cycle_id",
-            (F.col("on") & (F.col("id") == F.col("cycle_id"))).alias("back_edge"),
+            (F.col("on") & (F.col("id") == F.col("cycle_id"))).alias("back_edge"), "below",
         )
     )
 
@@ -255,7 +249,9 @@ def _round(state: DataFrame, paths: bool) -> DataFrame:
         (F.concat("p2", "path") if paths else F.col("path")).alias("path"),
         F.col("r2").alias("root"),
     )
-    return cut(moved.unionByName(state.filter(F.col("up").isNull())), "tree")
+    out = cut(moved.unionByName(state.filter(F.col("up").isNull())), "tree")
+    release(state)
+    return out
 
 
 def hierarchies(
@@ -271,63 +267,54 @@ def hierarchies(
     * A parent counts only if it is a node of the same scope; null, the scope itself and absent
       parents end the chain, so such a node is a root of depth 0.
     * Rows with a null node are dropped; rows with a null scope form the scope null and take
-      part like any other; repeated rows count once (of differing parents any one is kept, the
-      least in the distributed route).
+      part like any other; repeated rows count once (of differing parents the least is kept).
     * Nodes on or below a circle get no path, depth or root but ``cycle_id``, the smallest id on
       the circle; ``back_edge`` marks the one node per circle whose parent link closes it.
+      ``below`` is the path of a node below a circle from the node next to the circle on.
     * An empty table gives an empty result. Other columns of ``rows`` are ignored, whatever
       their names.
     * ``n_descendants`` of a node on a circle counts the whole component, itself included. Without
-      ``paths`` it is null for scopes above ``max_local_rows``.
+      ``paths`` it, ``path`` and ``below`` are null.
     """
     spark = rows.sparkSession
     slim = rows.select(
-        F.coalesce(scope.cast("string"), F.lit("\u0000")).alias("scope"),
-        node.cast("string").alias("id"),
-        parent.cast("string").alias("parent"),
-    ).filter(F.col("id").isNotNull())
-    slim = slim.withColumn(
-        "parent", F.when(F.col("parent") != F.col("scope"), F.col("parent"))
-    )
-    hot = cut(
-        slim.groupBy("scope").count().filter(F.col("count") > max_local_rows).select("scope"),
-        "hot",
-    )
+        F.coalesce(scope.cast("string"), F.lit("\u0000")).alias("scope"), node.cast("string").alias("id"), parent.cast("string").alias("parent"),
+    ).filter(F.col("id").isNotNull())
+    slim = slim.withColumn("parent", F.when(F.col("parent") != F.col("scope"), F.col("parent")))
+    hot = cut(slim.groupBy("scope").count().filter(F.col("count") > max_local_rows).select("scope"), "hot")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def local(some: DataFrame) -> DataFrame:
+        return some.repartition(n, "scope").sortWithinPartitions("scope").mapInArrow(_walk(paths), NODE_SCHEMA)
+
     if hot.isEmpty():
-        small, out = slim, None
+        out = local(slim)
     else:
-        small = slim.join(hot, "scope", "left_anti")
-        out = _double(slim.join(hot, "scope", "left_semi"), paths)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    local = (
-        small.repartition(n, "scope")
-        .sortWithinPartitions("scope")
-        .mapInArrow(_walk(paths), NODE_SCHEMA)
-    )
-    out = local if out is None else local.unionByName(out)
+        large = slim.join(hot, "scope", "left_semi")
+        ends = _double(large, False).select("scope", "id", F.coalesce("cycle_id", "root").alias("part"))
+        large = cut(large.join(ends, ["scope", "id"]), "parts")
+        sizes = large.groupBy("scope", "part").agg(F.countDistinct("id").alias("n"))
+        over = cut(sizes.filter(F.col("n") > max_local_rows).select("scope", "part"), "over")
+        fits = large.join(over, ["scope", "part"], "left_anti").select(F.concat("scope", F.lit(_PART), "part").alias("scope"), "id", "parent")
+        out = local(slim.join(hot, "scope", "left_anti").unionByName(fits))
+        if not over.isEmpty():
+            out = out.unionByName(_double(large.join(over, ["scope", "part"], "left_semi").drop("part"), paths))
     return out.withColumn("scope", F.when(F.col("scope") != "\u0000", F.col("scope")))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
     """(scope, id, descendant_id, distance): every pair of a node and one below it.
 
-    Made from the paths row by row, so no node's descendants are gathered in one place. Nodes
-    on circles have no path and take no part.
+    Made from the paths row by row, so no node's descendants are gathered in one place. Nodes on
+    circles lie below themselves without end and take no part; nodes below circles do.
     """
-    up = nodes.filter(F.col("path").isNotNull()).select(
-        "scope",
-        F.col("id").alias("descendant_id"),
-        F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("k", "ancestor"),
-        "depth",
-    )
-    return up.select(
-        "scope",
-        F.col("ancestor").alias("id"),
-        "descendant_id",
-        (F.col("depth") - F.col("k")).cast("long").alias("distance"),
-    )
+    way = F.coalesce("path", "below")
+    up = nodes.filter(way.isNotNull()).select(
+        "scope", F.col("id").alias("descendant_id"), F.posexplode(F.slice(way, 1, F.size(way) - 1)).alias("k", "ancestor"), F.size(way).alias("n"),
+    )
+    return up.select("scope", F.col("ancestor").alias("id"), "descendant_id", (F.col("n") - 1 - F.col("k")).cast("long").alias("distance"))
 
 
 def fullname_id(c: Column) -> Column:
-    """``t1_abc`` -> ``abc``: the text after the first underscore of a prefixed id."""
-    return F.regexp_replace(c, "^t[0-9]_", "")
+    """``t1_abc`` -> ``abc``: the text after the first underscore, if there is one."""
+    return F.regexp_replace(c, "^[^_]*_", "")

@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.series import dip_recover, head_tail_delta, kept, late_mean, mean, rise_fall, std, step_shape, tail
-from skein.functions.vectors import clip, finite
+from skein.functions.quantiles import quantiles
+from skein.functions.vectors import finite
 from skein.operators.clouds import cloud_series
-from skein.operators.orderparams import dispersion, effective_dim, radial_curve
 from skein.session import cut
 
 # The motions in their order and the bounds of their raw scores.
 MOTIONS = ("translation", "diffusion", "condensation", "fission", "crystallization", "vortex", "orbit", "breathing", "cascade", "filamentation")
 BOUNDS = ((-0.8, 3.6), (0, 2.9), (0, 2.6), (0, 3.5), (-0.6, 2.9), (-1.2, 2.7), (0, 2.9), (0, 2.7), (0, 2.7), (0, 3))
 TEMPERATURE = 0.25
+METHOD = "motion-mixture-v1"
 #: Scale name -> the feature it is fitted on.
 SCALES = {"sigma": "d_sigma", "dim": "d_dim", "k": "d_k", "chi": "d_chi", "m": "m_leave", "step": "chi_step_mean", "chi_std": "chi_late_std"}
 
 
-def trajectories(rows: DataFrame, size: int = 10, wide: int = 30) -> DataFrame:
-    """One row per thread with its series in window order; rows: thread_id, pos, e."""
-    long = (
-        radial_curve(rows, size)
-        .join(dispersion(rows, size, wide), ["thread_id", "win"])
-        .join(effective_dim(rows, size, wide), ["thread_id", "win"])
-        .join(cloud_series(rows, size, wide), ["thread_id", "win"])
-    )
-    names = {"sim_first": "sims", "sim_prev": "adj_sims", "sigma": "sigma", "eff_dim": "eff_dim", "k_modes": "k_modes", "chi": "chi", "chi_step": "chi_step", "bimodality": "bimodality"}
-    packed = F.array_sort(F.collect_list(F.struct("win", *[F.col(c).cast("double").alias(c) for c in names])))
-    wide_rows = long.groupBy("thread_id").agg(packed.alias("w"), F.sum("n").alias("n_comments"), F.count("*").alias("n_windows"))
-    pick = lambda c: F.transform("w", lambda s: s[c])
-    out = wide_rows.select("thread_id", "n_comments", "n_windows", *[pick(c).alias(n) for c, n in names.items()])
-    return out.withColumn("s_end", late_mean(F.col("sims")))
+def trajectories(rows: DataFrame, size: int = 10, wide: int = 30, keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
+    """One row per sequence with its series in window order; rows: keys, pos, e."""
+    return packed(cloud_series(rows, size, wide, keys), keys)
+
+
+def packed(long: DataFrame, keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
+    """One row per sequence with arrays of its series; long: keys, win, n and the series."""
+    names = [c for c in ("sims", "adj_sims", "sigma", "eff_dim", "k_modes", "chi", "chi_step", "bimodality") if c in long.columns]
+    ordered = F.array_sort(F.collect_list(F.struct("win", *[F.col(c).cast("double").alias(c) for c in names])))
+    wide_rows = long.groupBy(*keys).agg(ordered.alias("w"), F.sum("n").alias("n_comments"), F.count("*").alias("n_windows"))
+    pick = lambda c: F.transform("w", lambda s: s[c]).alias(c)
+    return wide_rows.select(*keys, "n_comments", "n_windows", *[pick(c) for c in names]).withColumn("s_end", late_mean(F.col("sims")))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -64,27 +65,33 @@ def features(rows: DataFrame) -> DataFrame:
     return cut(out, "features")
 
 
-def robust_scale(rows: DataFrame, column: str) -> DataFrame:
-    """One row, ``scale``: 1.4826 * median deviation from the median of the finite values.
+def robust_scales(rows: DataFrame, columns: dict[str, str]) -> dict[str, float]:
+    """name -> 1.4826 * median deviation from the median of the finite values of a column.
 
     At most 1e-6 gives way to the standard deviation (at least 0.001); fewer than four values to 1.
     """
-    x = rows.select(F.col(column).cast("double").alias("x")).filter(finite(F.col("x")))
-    mid = x.agg(F.percentile("x", F.lit(0.5)).alias("mid"))
-    s = x.join(F.broadcast(mid)).agg(  # one row
-        (F.percentile(F.abs(F.col("x") - F.col("mid")), F.lit(0.5)) * 1.4826).alias("mad"),
-        F.stddev_pop("x").alias("sd"), F.count("*").alias("n"),
-    )
-    scale = F.when(F.col("n") < 4, F.lit(1.0)).when(F.col("mad") > 1e-6, F.col("mad")).otherwise(F.greatest("sd", F.lit(1e-3)))
-    return s.select(scale.alias("scale"))
+    value = lambda c: F.when(finite(F.col(c).cast("double")), F.col(c).cast("double"))
+    spread = rows.agg(*[x for n, c in columns.items() for x in (F.count(value(c)).alias(f"n_{n}"), F.stddev_pop(value(c)).alias(f"s_{n}"))]).first()
+    mid = quantiles(rows, {n: (value(c), 0.5) for n, c in columns.items()})
+    mad = quantiles(rows, {n: (F.abs(value(c) - F.lit(mid[n])), 0.5) for n, c in columns.items() if mid[n] is not None})
+    out = {}
+    for n in columns:
+        s = (mad.get(n) or 0.0) * 1.4826
+        out[n] = 1.0 if spread[f"n_{n}"] < 4 else s if s > 1e-6 else max(spread[f"s_{n}"], 1e-3)
+    return out
 
 
 def fit_scales(human: DataFrame) -> dict[str, float]:
     """The seven reference scales from feature rows of the human side only."""
-    out = {n: float(robust_scale(human, f).collect()[0]["scale"]) for n, f in SCALES.items()}
+    out = robust_scales(human, SCALES)
     return out | {"k": max(out["k"], 0.35)}
 
 
+def fingerprint(scales: dict[str, float]) -> str:
+    """SHA-256 of the scales as JSON with sorted keys: what rows scored with them carry."""
+    return hashlib.sha256(json.dumps(scales, sort_keys=True).encode()).hexdigest()
+
+
 def check_scales(scales: dict[str, float], temperature: float) -> None:
     """Raise ValueError unless all seven scales and the temperature are finite and positive."""
     bad = [n for n in SCALES if not 0 < scales.get(n, 0) < float("inf")]
@@ -92,72 +99,88 @@ def check_scales(scales: dict[str, float], temperature: float) -> None:
         raise ValueError(f"scales {bad} or temperature are not finite and positive")
 
 
-def _stable(x: Column, s: float) -> Column:
-    return F.when(finite(x), F.exp(-F.abs(x) / s)).otherwise(F.lit(0.0))
+def _stable(x: np.ndarray, s: float) -> np.ndarray:
+    return np.where(np.isfinite(x), np.exp(-np.abs(np.nan_to_num(x)) / s), 0.0)
 
 
-def _up(x: Column, s: float) -> Column:
-    return F.when(finite(x), 1 / (1 + F.exp(-x / s))).otherwise(F.lit(0.0))
+def _up(x: np.ndarray, s: float) -> np.ndarray:
+    with np.errstate(over="ignore"):  # a large change saturates at 0 or 1
+        return np.where(np.isfinite(x), 1 / (1 + np.exp(-np.nan_to_num(x) / s)), 0.0)
 
 
-def raw_scores(scales: dict[str, float]) -> dict[str, Column]:
-    """Raw score of each motion as an expression over feature columns."""
-    c, s = F.col, scales
-    up = {n: _up(c(f"d_{n}"), s[n]) for n in ("sigma", "k", "chi")}
-    down = {n: _up(-c(f"d_{n}"), s[n]) for n in ("sigma", "k", "chi")}
-    still = {n: _stable(c(f"d_{n}"), s[n]) for n in ("sigma", "dim", "k", "chi")}
-    move = clip(c("m_leave") / (2 * s["m"] + 1e-9), 0.0, 1.0)
+def raw_scores(f: dict[str, np.ndarray], scales: dict[str, float], decline_factor: float = 1.0) -> np.ndarray:
+    """Raw score of each motion, a column each in the order of MOTIONS, from columns of features."""
+    s = scales
+    up = {n: _up(f[f"d_{n}"], s[n]) for n in ("sigma", "k", "chi")}
+    down = {n: _up(-f[f"d_{n}"], s[n]) for n in ("sigma", "k", "chi")}
+    still = {n: _stable(f[f"d_{n}"], s[n]) for n in ("sigma", "dim", "k", "chi")}
+    move = np.clip(f["m_leave"] / (2 * s["m"] + 1e-9), 0, 1)
     stay = 1 - move
-    freeze = _stable(c("chi_step_mean"), s["step"]) * _stable(c("chi_late_std"), s["chi_std"])
+    freeze = _stable(f["chi_step_mean"], s["step"]) * _stable(f["chi_late_std"], s["chi_std"])
     flow = 1 - freeze
-    decline = -F.expm1(-F.greatest(F.lit(0.0), -c("d_dim")) / s["dim"])
-    return {
-        "translation": 1.4 * move + 0.6 * still["sigma"] + 0.4 * still["dim"] + 0.4 * still["k"] + 0.8 * still["chi"] - 0.8 * c("m_wave"),
-        "diffusion": 1.2 * up["sigma"] + up["chi"] + 0.4 * stay + 0.3 * still["k"],
-        "condensation": 1.2 * down["sigma"] + down["chi"] + 0.4 * stay,
-        "fission": up["sigma"] + 1.4 * up["k"] + 0.8 * down["chi"] + 0.3 * stay,
-        "crystallization": 1.6 * freeze + 0.5 * still["sigma"] + 0.4 * still["k"] + 0.4 * stay - 0.6 * flow,
-        "vortex": 1.4 * flow + 0.5 * stay + 0.4 * still["sigma"] + 0.4 * still["k"] - 0.7 * c("chi_wave") - 0.5 * freeze,
-        "orbit": 1.3 * c("m_wave") + 1.3 * c("chi_wave") + 0.3 * still["sigma"],
-        "breathing": 1.2 * c("sigma_wave") + 1.2 * c("chi_wave") + 0.3 * stay,
-        "cascade": 1.3 * c("m_step") + 1.1 * c("chi_step_shape") + 0.3 * still["sigma"],
-        "filamentation": decline * (2 + 0.5 * still["sigma"] + 0.5 * still["k"]),
-    }
-
-
-def motion_weights(rows: DataFrame, scales: dict[str, float], temperature: float = TEMPERATURE) -> DataFrame:
-    """Add w_<motion> for the ten motions (they sum to 1), dominant_motion and entropy.
-
-    Scores are brought to [0, 1] by fixed bounds and turned into weights by a softmax. Rows with
-    fewer than four windows are marked: their shape terms are 0.
+    decline = -np.expm1(-np.maximum(0, -np.nan_to_num(f["d_dim"])) / (s["dim"] * decline_factor))
+    return np.column_stack(
+        [
+            1.4 * move + 0.6 * still["sigma"] + 0.4 * still["dim"] + 0.4 * still["k"] + 0.8 * still["chi"] - 0.8 * f["m_wave"],
+            1.2 * up["sigma"] + up["chi"] + 0.4 * stay + 0.3 * still["k"],
+            1.2 * down["sigma"] + down["chi"] + 0.4 * stay,
+            up["sigma"] + 1.4 * up["k"] + 0.8 * down["chi"] + 0.3 * stay,
+            1.6 * freeze + 0.5 * still["sigma"] + 0.4 * still["k"] + 0.4 * stay - 0.6 * flow,
+            1.4 * flow + 0.5 * stay + 0.4 * still["sigma"] + 0.4 * still["k"] - 0.7 * f["chi_wave"] - 0.5 * freeze,
+            1.3 * f["m_wave"] + 1.3 * f["chi_wave"] + 0.3 * still["sigma"],
+            1.2 * f["sigma_wave"] + 1.2 * f["chi_wave"] + 0.3 * stay,
+            1.3 * f["m_step"] + 1.1 * f["chi_step_shape"] + 0.3 * still["sigma"],
+            decline * (2 + 0.5 * still["sigma"] + 0.5 * still["k"]),
+        ]
+    )
+
+
+FEATURES = ("m_leave", "m_wave", "m_step", "d_sigma", "d_dim", "d_k", "d_chi", "sigma_wave", "chi_wave", "chi_step_shape", "chi_step_mean", "chi_late_std")
+
+
+def motion_weights(rows: DataFrame, scales: dict[str, float], temperature: float = TEMPERATURE, decline_factor: float = 1.0) -> DataFrame:
+    """Add r_ (raw), c_ (brought to [0, 1]) and w_ (weight) of the ten motions and what follows.
+
+    Weights are a softmax and sum to 1. dominant_motion is the first of the highest; entropy is
+    divided by its most. Rows with fewer than four windows are marked (resolved): their shape terms
+    are 0. Each row carries the method, the temperature and the fingerprint of the scales. A score
+    outside its bounds raises ValueError: no finite features give one.
     """
     check_scales(scales, temperature)
-    raw = raw_scores(scales)
-    out = rows.withColumns({f"r_{m}": raw[m] for m in MOTIONS}).withColumn("resolved", F.col("n_windows") >= 4)
+    rows = rows.withColumns({"resolved": F.col("n_windows") >= 4, "method": F.lit(METHOD), "temperature": F.lit(temperature), "scales": F.lit(fingerprint(scales))})
     low, high = (np.array(x, float) for x in zip(*BOUNDS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # as one expression per weight the softmax would repeat every score a thousand times
         for f in frames:
-            c = (f[[f"r_{m}" for m in MOTIONS]].to_numpy(float) - low) / (high - low)
+            raw = raw_scores({n: f[n].to_numpy(float) for n in FEATURES}, scales, decline_factor)
+            if not ((raw >= low - 1e-9) & (raw <= high + 1e-9)).all():
+                raise ValueError("a raw score lies outside its bounds")
+            c = (raw - low) / (high - low)
             w = np.exp((c - c.max(1, keepdims=True)) / temperature) if len(c) else c
             w = w / w.sum(1, keepdims=True)
-            new = {f"w_{m}": w[:, k] for k, m in enumerate(MOTIONS)}
+            new = {f"{k}_{m}": v[:, i] for k, v in (("r", raw), ("c", c), ("w", w)) for i, m in enumerate(MOTIONS)}
             best = np.array(MOTIONS, object)[c.argmax(1)] if len(c) else []
             entropy = -(w * np.log(np.maximum(w, 1e-300))).sum(1) / np.log(10)
             yield f.assign(**new, dominant_motion=best, entropy=entropy)
 
-    more = "".join(f", w_{m} double" for m in MOTIONS) + ", dominant_motion string, entropy double"
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in out.schema) + more
-    return out.mapInPandas(run, schema)
+    more = "".join(f", {k}_{m} double" for k in "rcw" for m in MOTIONS) + ", dominant_motion string, entropy double"
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema) + more
+    return rows.mapInPandas(run, schema)
 
 
 def nine_class(rows: DataFrame, scales: dict[str, float]) -> DataFrame:
-    """Add motion and margin: the highest of the first nine raw scores and its lead."""
-    raw = raw_scores(scales)
-    order = F.array_sort(F.array(*[F.struct((-raw[m]).alias("s"), F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in enumerate(MOTIONS[:9])]))
-    first, second = F.element_at(order, 1), F.element_at(order, 2)
-    return rows.withColumn("motion", first["m"]).withColumn("margin", second["s"] - first["s"])
+    """Add motion, score and margin: the first of the highest nine raw scores, and its lead."""
+    check_scales(scales, 1.0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = raw_scores({n: f[n].to_numpy(float) for n in FEATURES}, scales)[:, :9]
+            top = np.sort(raw, 1)[:, ::-1] if len(raw) else np.zeros((0, 2))
+            best = np.array(MOTIONS, object)[raw.argmax(1)] if len(raw) else []
+            yield f.assign(motion=best, score=top[:, 0], margin=top[:, 0] - top[:, 1])
+
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema)
+    return rows.mapInPandas(run, schema + ", motion string, score double, margin double")
 
 
 def side_mass(rows: DataFrame) -> DataFrame:
@@ -166,57 +189,95 @@ def side_mass(rows: DataFrame) -> DataFrame:
     return long.groupBy("side", "x.motion").agg(F.avg("x.w").alias("mean_weight"), F.sum("x.w").alias("mass"))
 
 
+# Settings under which weights are looked at again (temperature, factor of the scale of dimension decline).
+SETTINGS = {"tau_015": (0.15, 1.0), "tau_050": (0.5, 1.0), "filament_scale_05": (0.25, 0.5), "filament_scale_15": (0.25, 1.5)}
+
+
+def sensitivity(rows: DataFrame, scales: dict[str, float], settings: dict[str, tuple[float, float]] = SETTINGS) -> DataFrame:
+    """setting, motion, n_pairs, delta_pp: paired differences of weights under other settings."""
+    out = None
+    for name, (temperature, factor) in settings.items():
+        w = motion_weights(rows, scales, temperature, factor)
+        pair = _pairs(w).filter("h is not null and s is not null").groupBy("motion")
+        one = pair.agg(F.count("*").alias("n_pairs"), (100 * F.avg(F.col("s") - F.col("h"))).alias("delta_pp")).select(F.lit(name).alias("setting"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    long = rows.select("thread_id", "side", F.explode(F.array(*[F.struct(F.lit(m).alias("motion"), F.col(f"w_{m}").alias("w")) for m in MOTIONS])).alias("x"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("x.w")))
+    return long.groupBy("thread_id", "x.motion").agg(of("human").alias("h"), of("sim").alias("s"))
+
+
 def paired_delta(rows: DataFrame) -> DataFrame:
     """motion, delta_pp, n_positive: sim less human weight over complete pairs, in points."""
-    long = rows.select("thread_id", "side", F.explode(F.array(*[F.struct(F.lit(m).alias("motion"), F.col(f"w_{m}").alias("w")) for m in MOTIONS])).alias("x"))
-    pair = long.groupBy("thread_id", "x.motion").agg(
-        F.max(F.when(F.col("side") == "human", F.col("x.w"))).alias("h"), F.max(F.when(F.col("side") == "sim", F.col("x.w"))).alias("s")
-    )
-    return pair.filter("h is not null and s is not null").groupBy("motion").agg(
+    return _pairs(rows).filter("h is not null and s is not null").groupBy("motion").agg(
         (100 * F.avg(F.col("s") - F.col("h"))).alias("delta_pp"), F.count_if(F.col("s") > F.col("h")).alias("n_positive")
     )
 
 
+# The five radial shapes.
+SHAPES = ("anchored", "translated_plateau", "keep_falling", "orbit", "other")
+
+
 def shapes(rows: DataFrame) -> DataFrame:
-    """thread_id, shape: five radial shapes by priority; rows: thread_id, sims, s_end."""
-    after = F.slice("sims", 2, F.greatest(F.lit(1), F.size("sims")))
-    late = tail(F.col("sims"), 3)
+    """Add the features of a curve and its shape, the first of five rules that holds.
+
+    min_after and t_min: least value after the start and its first window; depth: how far below 1;
+    recovery: the end above it; late_slope, late_std: least squares and deviation of the last three.
+    All are null for fewer than three windows. rows: sims, s_end and more.
+    """
+    enough = F.size("sims") >= 3
+    after, late = F.slice("sims", 2, F.greatest(F.lit(1), F.size("sims"))), tail(F.col("sims"), 3)
     m = F.array_min(after)
-    slope = (F.element_at(late, -1) - F.element_at(late, 1)) / 2  # least squares over three points
-    back = F.col("s_end") - m
+    out = rows.withColumns(
+        {
+            "min_after": F.when(enough, m), "t_min": F.when(enough, F.array_position(after, m)), "depth": F.when(enough, 1 - m), "recovery": F.when(enough, F.col("s_end") - m),
+            "late_slope": F.when(enough, (F.element_at(late, -1) - F.element_at(late, 1)) / 2), "late_std": F.when(enough, std(late)),
+        }
+    )
+    c = F.col
     shape = (
-        F.when(F.size("sims") < 3, "other").when((back >= 0.12) & (back >= 0.30 * (1 - m)), "orbit")
-        .when((m >= 0.64) & (F.col("s_end") >= 0.70), "anchored")
-        .when((slope >= -0.02) & (std(late) <= 0.045), "translated_plateau")
-        .when(slope < -0.025, "keep_falling").otherwise("other")
+        F.when(~enough, "other").when((c("recovery") >= 0.12) & (c("recovery") >= 0.30 * c("depth")), "orbit")
+        .when((c("min_after") >= 0.64) & (c("s_end") >= 0.70), "anchored").when((c("late_slope") >= -0.02) & (c("late_std") <= 0.045), "translated_plateau")
+        .when(c("late_slope") < -0.025, "keep_falling").otherwise("other")
     )
-    return rows.withColumn("shape", shape)
+    return out.withColumn("shape", shape)
 
 
-def steps(rows: DataFrame) -> DataFrame:
+def steps(rows: DataFrame, keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
     """One row per window after the first: changes of the series and chi, where chi is finite."""
     z = F.arrays_zip("sims", "sigma", "eff_dim", "bimodality", "chi_step")
-    long = rows.select("thread_id", "n_windows", F.posexplode(z).alias("t", "v"), z.alias("z")).filter("t > 0")
+    long = rows.select(*keys, "n_windows", F.posexplode(z).alias("t", "v"), z.alias("z")).filter("t > 0")
     prev = F.element_at("z", F.col("t"))
     d = lambda n: F.col(f"v.{n}") - prev[n]
     return long.select(
-        "thread_id", "t", (F.col("t") / F.greatest(F.col("n_windows") - 1, F.lit(1))).alias("t_frac"), "n_windows",
+        *keys, F.col("t").cast("long").alias("t"), (F.col("t") / F.greatest(F.col("n_windows") - 1, F.lit(1))).alias("t_frac"), "n_windows",
         (-d("sims")).alias("delta_m"), d("sigma").alias("delta_sigma"), d("eff_dim").alias("delta_d"), d("bimodality").alias("delta_bimod"),
         F.col("v.chi_step").alias("chi"),
     ).filter(finite(F.col("chi")))
 
 
+def step_cuts(rows: DataFrame) -> dict[str, float]:
+    """The nine thresholds of step labels over the finite values of all steps."""
+    fine = lambda c: F.when(finite(c), c)
+    c = F.col
+    wanted = {
+        "chi_low": (c("chi"), 0.2), "sigma_lo": (c("delta_sigma"), 0.2), "sigma_hi": (c("delta_sigma"), 0.8), "d_lo": (c("delta_d"), 0.2),
+        "bimod_hi": (c("delta_bimod"), 0.8), "m_move": (c("delta_m"), 0.75), "sigma_st": (F.abs("delta_sigma"), 0.5),
+        "d_st": (F.abs("delta_d"), 0.5), "bimod_st": (F.abs("delta_bimod"), 0.5),
+    }
+    return quantiles(rows, {n: (fine(x), q) for n, (x, q) in wanted.items()})
+
+
 def step_labels(rows: DataFrame) -> DataFrame:
     """Add motion to step rows by thresholds over all steps; NaN never satisfies a rule."""
-    q = lambda c, p: F.percentile(F.when(finite(c), c), F.lit(p))
+    cuts = step_cuts(rows)
     c = F.col
-    cuts = rows.agg(
-        q(c("chi"), 0.2).alias("chi_low"), q(c("delta_sigma"), 0.2).alias("sigma_lo"), q(c("delta_sigma"), 0.8).alias("sigma_hi"),
-        q(c("delta_d"), 0.2).alias("d_lo"), q(c("delta_bimod"), 0.8).alias("bimod_hi"), q(c("delta_m"), 0.75).alias("m_move"),
-        q(F.abs("delta_sigma"), 0.5).alias("sigma_st"), q(F.abs("delta_d"), 0.5).alias("d_st"), q(F.abs("delta_bimod"), 0.5).alias("bimod_st"),
-    )
-    le = lambda x, y: finite(x) & (x <= c(y))
-    ge = lambda x, y: finite(x) & (x >= c(y))
+    at = lambda n: F.lit(cuts[n]).cast("double")
+    le = lambda x, y: F.coalesce(finite(x) & (x <= at(y)), F.lit(False))
+    ge = lambda x, y: F.coalesce(finite(x) & (x >= at(y)), F.lit(False))
     quiet = le(F.abs("delta_sigma"), "sigma_st") & le(F.abs("delta_d"), "d_st") & le(F.abs("delta_bimod"), "bimod_st")
     motion = (
         F.when(le(c("chi"), "chi_low") & quiet, "crystallization").when(le(c("delta_sigma"), "sigma_lo"), "condensation")
@@ -224,11 +285,26 @@ def step_labels(rows: DataFrame) -> DataFrame:
         .when(ge(c("delta_sigma"), "sigma_hi"), "diffusion").when(ge(c("delta_m"), "m_move") & quiet, "translation")
         .otherwise("turnover_background")
     )
-    return rows.join(F.broadcast(cuts)).withColumn("motion", motion).select(*rows.columns, "motion")  # one row
+    return rows.withColumn("motion", motion)
 
 
-def late_majority(rows: DataFrame, last: int = 3) -> DataFrame:
-    """thread_id, label: the most frequent motion of the last steps; of equals the earliest."""
+def late_majority(rows: DataFrame, last: int = 3, keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
+    """keys, label: the most frequent motion of the last steps; of equals the earliest."""
     near = rows.filter(F.col("t") >= F.greatest(F.lit(1), F.col("n_windows") - last))
-    n = near.groupBy("thread_id", "motion").agg(F.count("*").alias("n"), F.min("t").alias("t"))
-    return n.groupBy("thread_id").agg(F.max_by("motion", F.struct("n", -F.col("t"))).alias("label"))
+    n = near.groupBy(*keys, "motion").agg(F.count("*").alias("n"), F.min("t").alias("t"))
+    return n.groupBy(*keys).agg(F.max_by("motion", F.struct("n", -F.col("t"))).alias("label"))
+
+
+def curve_notes(rows: DataFrame, turn: float = 0.12, drift: float = 0.05) -> DataFrame:
+    """Add note_m, note_sigma, note_k, note_chi: what a reader would say of each series, as codes.
+
+    m: returned, left, or stayed; the others: wave, up, down, or flat. rows: features of a trajectory.
+    """
+    c = F.col
+    m = F.when(c("m_wave") >= 0.5, "returned").when(c("m_leave") >= turn, "left").otherwise("stayed")
+
+    def moved(change: str, wave: str | None, least: float):
+        start = F.when(c(wave) >= 0.5, "wave") if wave else F.when(F.lit(False), "wave")
+        return start.when(finite(c(change)) & (c(change) >= least), "up").when(finite(c(change)) & (c(change) <= -least), "down").otherwise("flat")
+
+    return rows.withColumns({"note_m": m, "note_sigma": moved("d_sigma", "sigma_wave", drift), "note_k": moved("d_k", None, 0.5), "note_chi": moved("d_chi", "chi_wave", turn)})

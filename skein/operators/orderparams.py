@@ -7,19 +7,26 @@ threads shorter than a window form one partial window.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from skein.functions.quantiles import quantiles
 from skein.functions.vectors import clip, dot, norm, unit
 
 
 def mean_vectors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mean, n: the mean vector of each group, dimension by dimension so that partial sums
-    are combined before the shuffle."""
-    flat = rows.select(*keys, F.posexplode("e").alias("d", "x"))
-    per = flat.groupBy(*keys, "d").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("d", "x")))
-    return per.groupBy(*keys).agg(F.transform(ordered, lambda s: s["x"]).alias("mean"), F.max("n").alias("n"))
+    """keys, mean, n: the mean vector of each group; partial sums are combined before the shuffle.
+
+    Rows with a null vector are left out.
+    """
+    v = rows.filter("e is not null").withColumn("__v", array_to_vector("e"))
+    mean = Summarizer.mean(F.col("__v"))
+    return v.groupBy(*keys).agg(vector_to_array(mean).alias("mean"), F.count("*").alias("n"))
 
 
 def tumbling(rows: DataFrame, size: int) -> DataFrame:
@@ -62,17 +69,24 @@ def dispersion(rows: DataFrame, size: int = 10, wide: int = 30) -> DataFrame:
     return m.select("thread_id", "win", sigma.alias("sigma"), F.col("n").alias("n_support"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _participation(windows: pd.Series) -> pd.Series:
+    out = []
+    for w in windows:
+        x = np.stack([np.asarray(v, float) for v in w])
+        k = x @ x.T
+        square = float((k * k).sum())
+        out.append(1.0 if len(x) < 2 else float(np.trace(k)) ** 2 / square if square > 1e-12 else 0.0)
+    return pd.Series(out, dtype=float)
+
+
 def effective_dim(rows: DataFrame, size: int = 10, wide: int = 30) -> DataFrame:
-    """thread_id, win, eff_dim: participation ratio n^2 / sum of squared pair cosines."""
-    s = support(rows, size, wide).select("thread_id", "win", "pos", "e")
-    other = s.select("thread_id", "win", F.col("pos").alias("pos2"), F.col("e").alias("e2"))
-    # at most wide^2 / 2 pairs per window; each pair off the diagonal counts twice
-    d = dot(F.col("e"), F.col("e2"))
-    pairs = s.join(other, ["thread_id", "win"]).filter("pos <= pos2")
-    pairs = pairs.select("thread_id", "win", (F.pow(d, 2) * F.when(F.col("pos") < F.col("pos2"), 2).otherwise(1)).alias("k2"), (F.col("pos") == F.col("pos2")).cast("int").alias("one"))
-    g = pairs.groupBy("thread_id", "win").agg(F.sum("k2").alias("k2"), F.sum("one").alias("n"))
-    ratio = F.when(F.col("n") < 2, F.lit(1.0)).when(F.col("k2") > 1e-12, F.pow("n", 2) / F.col("k2")).otherwise(F.lit(0.0))
-    return g.select("thread_id", "win", ratio.alias("eff_dim"))
+    """thread_id, win, eff_dim: participation ratio, squared trace over squared length of the kernel.
+
+    The vectors of a window, at most ``wide``, come together in one row; no pairs are formed.
+    """
+    s = support(rows, size, wide).filter("e is not null").groupBy("thread_id", "win").agg(F.collect_list("e").alias("w"))
+    return s.select("thread_id", "win", _participation("w").alias("eff_dim"))
 
 
 def late(by: str, value: Column, last: int = 3) -> Column:
@@ -84,34 +98,44 @@ def with_count(curve: DataFrame) -> DataFrame:
     return curve.withColumn("n_windows", F.count("*").over(Window.partitionBy("thread_id")))
 
 
-def s_end_scores(curve: DataFrame, last: int = 3) -> DataFrame:
-    """Per thread: s_end, slope, distance from the start, first window below 0.5, windows."""
+def s_end_scores(curve: DataFrame, last: int = 3, reach: float = 0.9, leave: float = 0.5) -> DataFrame:
+    """Per thread: s_end, slope, distance from the start, first windows at ``reach`` and below ``leave``.
+
+    t_tau is the first window whose similarity is at least ``reach``, the first window itself
+    included; departure is the first later window below ``leave``. Both are null where there is none.
+    """
     c = with_count(curve)
     return c.groupBy("thread_id").agg(
         late("win", F.col("sim_first"), last).alias("s_end"),
         F.coalesce(F.regr_slope("sim_first", "win"), F.lit(0.0)).alias("slope"),
         F.coalesce(F.avg(F.when(F.col("win") > 0, 1 - F.col("sim_first"))), F.lit(0.0)).alias("distance"),
-        F.min(F.when((F.col("win") > 0) & (F.col("sim_first") < 0.5), F.col("win"))).alias("departure"),
+        F.min(F.when(F.col("sim_first") >= reach, F.col("win"))).alias("t_tau"),
+        F.min(F.when((F.col("win") > 0) & (F.col("sim_first") < leave), F.col("win"))).alias("departure"),
         F.count("*").alias("n_windows"),
     )
 
 
 def quantile_labels(scores: DataFrame, high: float = 0.8, low: float = 0.2) -> DataFrame:
     """Add label: converge at or above the high quantile of s_end, non_converge at or below the low."""
-    cuts = scores.agg(F.percentile("s_end", F.lit(high)).alias("hi"), F.percentile("s_end", F.lit(low)).alias("lo"))
-    label = F.when(F.col("s_end") >= F.col("hi"), "converge").when(F.col("s_end") <= F.col("lo"), "non_converge").otherwise("ambiguous")
-    # one row
-    return scores.join(F.broadcast(cuts)).withColumn("label", label).drop("hi", "lo")
+    cuts = quantiles(scores, {"hi": (F.col("s_end"), high), "lo": (F.col("s_end"), low)})
+    at = lambda n: F.lit(cuts[n]).cast("double")
+    label = F.when(F.col("s_end") >= at("hi"), "converge").when(F.col("s_end") <= at("lo"), "non_converge").otherwise("ambiguous")
+    return scores.withColumn("label", label)
 
 
 def corpus_mean(rows: DataFrame) -> DataFrame:
-    """d, mu: the mean over all vectors, by dimension."""
-    return rows.select(F.posexplode("e").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("mu"))
+    """d, mu: the mean over all vectors, by dimension; empty if there are none."""
+    mean = mean_vectors(rows, []).filter("n > 0")
+    return mean.select(F.posexplode("mean").alias("d", "mu"))
 
 
-def centred(rows: DataFrame) -> DataFrame:
-    """The rows with the corpus mean taken off and vectors scaled to length 1 again."""
-    mu = corpus_mean(rows).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "mu"))), lambda s: s["mu"]).alias("mu"))
+def centred(rows: DataFrame, mu: DataFrame | None = None) -> DataFrame:
+    """The rows with a mean taken off and vectors scaled to length 1 again.
+
+    mu: one row with the array ``mu``, as kept from another corpus; the mean of the rows by default.
+    """
+    if mu is None:
+        mu = mean_vectors(rows, []).select(F.col("mean").alias("mu"))
     # one row of as many numbers as a vector has
     moved = F.zip_with("e", "mu", lambda x, m: x - m)
     return rows.join(F.broadcast(mu)).withColumn("e", unit(moved)).drop("mu")

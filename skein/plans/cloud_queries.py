@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.series import resample
-from skein.operators import clouds, motion, orderparams
-from skein.session import cut
+from skein.operators import clouds, describe, motion, orderparams
 from skein.sources.views import cloud, paired_cloud
 
 
@@ -21,7 +19,7 @@ def radial_curve(spark: SparkSession, d: str) -> DataFrame:
 
 def s_end_scores(spark: SparkSession, d: str) -> DataFrame:
     s = orderparams.s_end_scores(orderparams.radial_curve(cloud(spark, d)))
-    return s.select("thread_id", *_r("s_end", "slope", "distance"), "departure", "n_windows")
+    return s.select("thread_id", *_r("s_end", "slope", "distance"), "t_tau", "departure", "n_windows")
 
 
 def quantile_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -50,14 +48,19 @@ def cloud_series(spark: SparkSession, d: str) -> DataFrame:
     return clouds.cloud_series(cloud(spark, d))
 
 
+def cloud_summary(spark: SparkSession, d: str) -> DataFrame:
+    """First and late values of all series of each cloud."""
+    return clouds.summary(clouds.cloud_series(cloud(spark, d)))
+
+
+def vendi_windows(spark: SparkSession, d: str) -> DataFrame:
+    return clouds.vendi_means(cloud(spark, d)).select("thread_id", "win", *_r("value"))
+
+
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows of both sides, thread by thread."""
-    c = paired_cloud(spark, d)
-    parts = []
-    for side in ("human", "sim"):
-        t = motion.features(motion.trajectories(c.filter(F.col("side") == side).drop("side"), 5, 15))
-        parts.append(t.withColumn("side", F.lit(side)))
-    return cut(parts[0].unionByName(parts[1]), "features")
+    keys = ("thread_id", "side")
+    return motion.features(motion.trajectories(paired_cloud(spark, d), 5, 15, keys))
 
 
 def _weighted(spark: SparkSession, d: str) -> DataFrame:
@@ -65,33 +68,14 @@ def _weighted(spark: SparkSession, d: str) -> DataFrame:
     return motion.motion_weights(rows, motion.fit_scales(rows.filter("side = 'human'")))
 
 
-def trajectory_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = _paired(spark, d)
-    return rows.select("thread_id", "side", *_r("m_leave", "m_wave", "m_step", "d_sigma", "d_dim", "d_k", "d_chi", "sigma_wave", "chi_wave", "chi_step_mean", "chi_late_std"))
+def cloud_features(spark: SparkSession, d: str) -> DataFrame:
+    return _paired(spark, d).select("thread_id", "side", *_r(*motion.FEATURES))
 
 
-def robust_scales(spark: SparkSession, d: str) -> DataFrame:
-    scales = motion.fit_scales(_paired(spark, d).filter("side = 'human'"))
-    return spark.createDataFrame(sorted(scales.items()), "name string, scale double")
-
-
-def motion_weights(spark: SparkSession, d: str) -> DataFrame:
+def cloud_weights(spark: SparkSession, d: str) -> DataFrame:
     return _weighted(spark, d).select("thread_id", "side", *_r(*[f"w_{m}" for m in motion.MOTIONS], "entropy"), "dominant_motion", "resolved")
 
 
-def side_mass(spark: SparkSession, d: str) -> DataFrame:
-    return motion.side_mass(_weighted(spark, d))
-
-
-def paired_delta(spark: SparkSession, d: str) -> DataFrame:
-    return motion.paired_delta(_weighted(spark, d))
-
-
-def nine_class_argmax(spark: SparkSession, d: str) -> DataFrame:
-    rows = _paired(spark, d)
-    return motion.nine_class(rows, motion.fit_scales(rows.filter("side = 'human'"))).select("thread_id", "side", "motion", *_r("margin"))
-
-
 def curve_shapes(spark: SparkSession, d: str) -> DataFrame:
     c = orderparams.radial_curve(cloud(spark, d))
     rows = c.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("win", "sim_first"))).alias("w"))
@@ -100,25 +84,15 @@ def curve_shapes(spark: SparkSession, d: str) -> DataFrame:
     return motion.shapes(rows.join(scores, "thread_id")).select("thread_id", "shape")
 
 
-def step_labels(spark: SparkSession, d: str) -> DataFrame:
-    s = motion.step_labels(cut(motion.steps(motion.trajectories(cloud(spark, d))), "steps"))
-    return s.select("thread_id", "t", *_r("t_frac", "delta_m", "delta_sigma", "delta_d", "chi"), "motion")
-
-
-def late_majority(spark: SparkSession, d: str) -> DataFrame:
-    return motion.late_majority(motion.step_labels(cut(motion.steps(motion.trajectories(cloud(spark, d))), "steps")))
-
-
 def resampled_band(spark: SparkSession, d: str) -> DataFrame:
     """Quartiles of the curves of all threads over 20 steps of progress."""
     c = orderparams.radial_curve(cloud(spark, d)).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("win", "sim_first"))).alias("w"))
-    g = c.select(F.posexplode(resample(F.transform("w", lambda s: s["sim_first"]))).alias("step", "y"))
-    return g.groupBy("step").agg(*[F.round(F.percentile("y", F.lit(p)), 6).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
+    return describe.bands(c.select(F.transform("w", lambda s: s["sim_first"]).alias("y")), "y")
 
 
 NAMES = (
-    "radial_curve s_end_scores quantile_labels dispersion effective_dim corpus_mean_vector centred_curve cloud_series trajectory_features "
-    "robust_scales motion_weights side_mass paired_delta nine_class_argmax curve_shapes step_labels late_majority resampled_band"
+    "radial_curve s_end_scores quantile_labels dispersion effective_dim corpus_mean_vector centred_curve cloud_series cloud_summary "
+    "vendi_windows cloud_features cloud_weights curve_shapes resampled_band"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -133,7 +107,7 @@ c1 AS (SELECT a.thread_id, a.win, greatest(-1, least(1, sum(a.x * b.x))) AS sim_
 c2 AS (SELECT a.thread_id, a.win, greatest(-1, least(1, sum(a.x * b.x))) AS sim_prev FROM cv a JOIN cv b ON a.thread_id = b.thread_id AND a.d = b.d AND b.win = a.win - 1 GROUP BY ALL),
 curve AS (SELECT thread_id, win, sim_first, coalesce(sim_prev, 1.0) AS sim_prev, count(*) OVER (PARTITION BY thread_id) AS n_windows FROM c1 LEFT JOIN c2 USING (thread_id, win)),
 scores AS (SELECT thread_id, avg(sim_first) FILTER (win >= n_windows - 3) AS s_end, coalesce(regr_slope(sim_first, win), 0.0) AS slope,
-  coalesce(avg(1 - sim_first) FILTER (win > 0), 0.0) AS distance, min(win) FILTER (win > 0 AND sim_first < 0.5) AS departure, count(*) AS n_windows FROM curve GROUP BY 1)"""
+  coalesce(avg(1 - sim_first) FILTER (win > 0), 0.0) AS distance, min(win) FILTER (sim_first >= 0.9) AS t_tau, min(win) FILTER (win > 0 AND sim_first < 0.5) AS departure, count(*) AS n_windows FROM curve GROUP BY 1)"""
 _SUPPORT = """,
 n AS (SELECT thread_id, max(pos) + 1 AS n FROM cloud GROUP BY 1),
 blocks AS (SELECT thread_id, n, unnest(generate_series(0, (n - 1) // 10)) AS win FROM n),
@@ -141,7 +115,7 @@ spans AS (SELECT thread_id, win, least(n, win * 10 - 10 + 30) AS e, greatest(0,
 
 ORACLES = {
     "radial_curve": _CLOUD + _CURVE + " SELECT thread_id, win, round(sim_first, 6) AS sim_first, round(sim_prev, 6) AS sim_prev FROM curve",
-    "s_end_scores": _CLOUD + _CURVE + " SELECT thread_id, round(s_end, 6) AS s_end, round(slope, 6) AS slope, round(distance, 6) AS distance, departure, n_windows FROM scores",
+    "s_end_scores": _CLOUD + _CURVE + " SELECT thread_id, round(s_end, 6) AS s_end, round(slope, 6) AS slope, round(distance, 6) AS distance, t_tau, departure, n_windows FROM scores",
     "quantile_labels": _CLOUD + _CURVE + """ SELECT thread_id, round(s_end, 6) AS s_end,
   CASE WHEN s_end >= (SELECT quantile_cont(s_end, 0.8) FROM scores) THEN 'converge' WHEN s_end <= (SELECT quantile_cont(s_end, 0.2) FROM scores) THEN 'non_converge' ELSE 'ambiguous' END AS label FROM scores""",
     "dispersion": _CLOUD + _SUPPORT + """,
@@ -149,10 +123,23 @@ m AS (SELECT thread_id, win, d, avg(x) AS x, count(*) AS n FROM flat JOIN spans
 SELECT thread_id, win, round(CASE WHEN max(n) < 2 THEN 0 ELSE 1 - sqrt(sum(x * x)) END, 6) AS sigma, max(n) AS n_support FROM m GROUP BY ALL""",
     "effective_dim": _CLOUD + _SUPPORT + """,
 w AS (SELECT c.thread_id, win, pos, embedding FROM cloud c JOIN spans USING (thread_id) WHERE pos >= s AND pos < e),
-g AS (SELECT a.thread_id, a.win, sum(pow(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2)) AS k2, count(DISTINCT a.pos) AS n
+g AS (SELECT a.thread_id, a.win, sum(pow(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2)) AS k2,
+    sum(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) FILTER (a.pos = b.pos) AS tr, count(DISTINCT a.pos) AS n
   FROM w a JOIN w b ON a.thread_id = b.thread_id AND a.win = b.win GROUP BY ALL)
-SELECT thread_id, win, round(CASE WHEN n < 2 THEN 1 ELSE n * n / k2 END, 6) AS eff_dim FROM g""",
+SELECT thread_id, win, round(CASE WHEN n < 2 THEN 1 ELSE tr * tr / k2 END, 6) AS eff_dim FROM g""",
     "corpus_mean_vector": _CLOUD + " SELECT CAST(d - 1 AS INTEGER) AS d, round(avg(x), 6) AS mu FROM flat GROUP BY 1",
+    "curve_shapes": _CLOUD + _CURVE + """,
+late AS (SELECT thread_id, win, sim_first, n_windows, row_number() OVER (PARTITION BY thread_id ORDER BY win DESC) AS r FROM curve),
+f AS (SELECT l.thread_id, max(n_windows) AS n, min(sim_first) FILTER (win > 0) AS m, regr_slope(sim_first, win) FILTER (r <= 3) AS slope, stddev_pop(sim_first) FILTER (r <= 3) AS sd, avg(sim_first) FILTER (r <= 3) AS e
+  FROM late l GROUP BY 1)
+SELECT thread_id, CASE WHEN n < 3 THEN 'other' WHEN e - m >= 0.12 AND e - m >= 0.30 * (1 - m) THEN 'orbit' WHEN m >= 0.64 AND e >= 0.70 THEN 'anchored'
+  WHEN slope >= -0.02 AND sd <= 0.045 THEN 'translated_plateau' WHEN slope < -0.025 THEN 'keep_falling' ELSE 'other' END AS shape FROM f""",
+    "resampled_band": _CLOUD + _CURVE + """,
+l AS (SELECT thread_id, list(sim_first ORDER BY win) AS y FROM curve GROUP BY 1),
+g AS (SELECT thread_id, y, unnest(generate_series(0, 19)) AS step FROM l WHERE len(y) >= 2),
+p AS (SELECT step, y, step / 19.0 * (len(y) - 1) AS p, CAST(floor(step / 19.0 * (len(y) - 1)) AS INTEGER) AS lo FROM g),
+v AS (SELECT step, y[lo + 1] + (y[least(lo + 2, len(y))] - y[lo + 1]) * (p - lo) AS v FROM p)
+SELECT CAST(step AS INTEGER) AS step, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75 FROM v GROUP BY 1""",
     "centred_curve": _CLOUD + """,
 mu AS (SELECT d, avg(x) AS mu FROM flat GROUP BY 1),
 moved AS (SELECT thread_id, pos, d, x - mu AS x FROM flat JOIN mu USING (d)),

@@ -26,7 +26,7 @@ def p6_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir, paths=True)
     return nodes.select(
         F.col("scope").alias("post_id"), "id", F.array_join("path", "/").alias("path"), "depth",
-        "root", "n_descendants", "cycle_id", "back_edge",
+        "root", "n_descendants", "cycle_id", "back_edge", F.array_join("below", "/").alias("below"),
     )
 
 
@@ -41,7 +41,7 @@ _CHAIN = """
 WITH RECURSIVE c AS (
   SELECT DISTINCT post_id, id,
     CASE WHEN parent_id LIKE 't3\\_%' ESCAPE '\\' THEN NULL
-         ELSE regexp_replace(parent_id, '^t[0-9]_', '') END AS parent FROM comments),
+         ELSE CASE WHEN contains(parent_id, '_') THEN substr(parent_id, strpos(parent_id, '_') + 1) ELSE parent_id END END AS parent FROM comments),
 e AS (
   SELECT c.post_id, c.id, p.id AS parent FROM c
   LEFT JOIN c p ON p.post_id = c.post_id AND p.id = c.parent AND c.parent <> c.post_id),
@@ -67,11 +67,18 @@ reach AS (SELECT w.start AS id, min(w.cur) AS cycle_id FROM walk w
 SELECT id, cycle_id FROM reach""",
     "p6_descendants": _CHAIN
     + """,
+open AS (SELECT e.* FROM e ANTI JOIN tree USING (post_id, id)),
+walk AS (
+  SELECT id AS start, parent AS cur, 1 AS step FROM open
+  UNION ALL
+  SELECT w.start, o.parent, w.step + 1 FROM walk w JOIN open o ON o.id = w.cur
+  WHERE w.step <= (SELECT count(*) FROM open)),
+circle AS (SELECT DISTINCT start AS id FROM walk WHERE cur = start),
+down AS (SELECT * FROM e WHERE parent IS NOT NULL AND id NOT IN (FROM circle) AND parent NOT IN (FROM circle)),
 up AS (
-  SELECT post_id, parent AS id, id AS descendant_id, CAST(1 AS BIGINT) AS distance
-  FROM e WHERE parent IS NOT NULL AND (post_id, id) IN (SELECT post_id, id FROM tree)
+  SELECT post_id, parent AS id, id AS descendant_id, CAST(1 AS BIGINT) AS distance FROM down
   UNION ALL
-  SELECT u.post_id, e.parent, u.descendant_id, u.distance + 1
-  FROM up u JOIN e ON e.post_id = u.post_id AND e.id = u.id WHERE e.parent IS NOT NULL)
+  SELECT u.post_id, d.parent, u.descendant_id, u.distance + 1
+  FROM up u JOIN down d ON d.post_id = u.post_id AND d.id = u.id)
 SELECT post_id, id, descendant_id, distance FROM up""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from functools import cache
 
-MODULES = ("hierarchy_queries", "cloud_queries", "discussion_queries", "stats_queries")
+MODULES = ("hierarchy_queries", "cloud_queries", "discussion_queries", "series_queries", "stats_queries")
 
 
 @cache

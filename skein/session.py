@@ -26,12 +26,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (single-machine
-    runs such as tests) a temporary folder is made and set as the checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local master (single-machine
+    runs such as tests) gets a temporary folder; on a cluster that would lie on separate disks, so
+    it is an error there.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="skein-")
         sc.setCheckpointDir(path)
     return path
@@ -41,11 +44,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it back.
 
     The result has no lineage, survives the loss of executors and is compressed, which the
-    files of ``checkpoint()`` are not.
+    files of ``checkpoint()`` are not. The files go when the session ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

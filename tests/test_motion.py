@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import series as S
 from skein.operators import motion as M
-from skein.operators.contracts import trajectory_violations, weight_violations
+from skein.operators.contracts import demand, replay_audit, replay_violations, same_protocol, shared_titles, trajectory_violations, weight_violations
 
 ZERO = ["d_sigma", "d_dim", "d_k", "d_chi", "m_leave", "chi_step_mean", "chi_late_std", "m_wave", "chi_wave", "sigma_wave", "m_step", "chi_step_shape"]
 ONES = dict.fromkeys(M.SCALES, 1.0)
@@ -62,6 +62,8 @@ def test_scales_come_from_the_human_side(spark):
     assert scales == M.fit_scales(alone)
     weighted = M.motion_weights(rows, scales)
     assert weight_violations(weighted).count() == 0
+    row = weighted.first()
+    assert row.scales == M.fingerprint(scales) and row.method == M.METHOD and row.temperature == M.TEMPERATURE
     mass = M.side_mass(weighted).groupBy("side").agg(F.sum("mean_weight").alias("w")).collect()
     assert all(abs(r.w - 1) < 1e-9 for r in mass)
     by = {(r.side, r.motion): r.mean_weight for r in M.side_mass(weighted).collect()}
@@ -75,8 +77,67 @@ def test_contract(spark):
     nan_row[6] = [float("nan")] * 4
     reasons = lambda rows: {r.reason for r in trajectory_violations(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert reasons(good) == set()
+    assert reasons([]) == {"no trajectories"}
     assert reasons([*good, trajectory("a", "sim")]) == {"repeated"}
+    assert reasons([trajectory("a", "human"), (*trajectory("a", "sim")[:2], 50, *trajectory("a", "sim")[3:])]) == {"paired n_comments differ"}
+    assert reasons([(*good[0][:5], float("inf"), *good[0][6:])]) == {"end not finite"}
+    mixed = spark.createDataFrame([(*good[0], "a"), (*trajectory("b", "human"), "b"), (*trajectory("c", "human"), None)], SCHEMA + ", embedder string")
+    assert {r.reason for r in trajectory_violations(mixed).collect()} == {"mixed settings"}
+    with pytest.raises(ValueError):
+        demand(trajectory_violations(mixed), "trajectories")
     assert reasons([*good, trajectory("c", "sim")]) == {"incomplete pair"}
     assert "series of wrong length or not finite" in reasons([tuple(nan_row)])
     assert "fewer than two windows" in reasons([trajectory("d", "human", n=1)])
     assert "unknown side" in reasons([trajectory("e", "other")])
+
+
+def test_weights_keep_their_contract(spark):
+    rows = M.features(spark.createDataFrame([trajectory("a", "human"), trajectory("a", "sim", 0.5)], SCHEMA))
+    w = M.motion_weights(rows, ONES).withColumn("title", F.lit("A"))
+    assert [tuple(r) for r in shared_titles(w).collect()] == [("a", "A")]
+    other = w.withColumn("title", F.col("side"))
+    assert {r.reason for r in weight_violations(other).collect()} == {"paired title differ"}
+    raised = w.withColumn("w_vortex", F.col("w_vortex") + 0.1)
+    assert {r.reason for r in weight_violations(raised).collect()} == {"no distribution"}
+    mixed = w.withColumn("temperature", F.when(F.col("side") == "sim", 0.5).otherwise(0.25))
+    assert {r.reason for r in weight_violations(mixed).collect()} == {"mixed protocols"}
+    for bad in (other, raised):
+        with pytest.raises(ValueError):
+            shared_titles(bad)
+    with pytest.raises(ValueError):
+        same_protocol({"embedder": "x"}, spark.createDataFrame([("y",)], "embedder string"))
+    same_protocol({"embedder": "y"}, spark.createDataFrame([("y",)], "embedder string"))
+
+
+def test_score_outside_its_bounds_is_an_error(spark):
+    row = spark.range(1).select(F.lit(5).alias("n_windows"), *[F.lit(9.0).alias(z) for z in ZERO])
+    with pytest.raises(Exception, match="outside its bounds"):
+        M.motion_weights(row, ONES).collect()
+
+
+HUMAN = "post_id string, position long, author string, alias string, comment_id string, body string"
+SIM = "file_id string, position long, author string, alias string, comment_id string, body string, error string, shown_indices array<long>, truncated boolean"
+
+
+def test_replay_contract(spark):
+    human = spark.createDataFrame([("p", i, "x", "A", str(i), "human text") for i in range(2)], HUMAN)
+    head = spark.createDataFrame([("p", "p", 2)], "post_id string, file_id string, n_turns long")
+    turn = {"file_id": "p", "author": "x", "alias": "A", "body": "sim text", "error": None, "truncated": False}
+    good = [{**turn, "position": i, "comment_id": str(i), "shown_indices": list(range(i))} for i in range(2)]
+
+    def reasons(change=None, heads=head, n=2):
+        rows = [dict(r) for r in good[:n]]
+        if change:
+            rows[1].update(change)
+        return {r.reason for r in replay_violations(human, heads, spark.createDataFrame(rows, SIM)).collect()}
+
+    assert reasons() == set()
+    assert reasons({"body": " "}) == {"failed or empty simulation"} and reasons({"error": "failed"}) == {"failed or empty simulation"}
+    assert reasons({"author": "wrong"}) == {"author differs"} and reasons({"position": 99}) == {"position differs"}
+    assert reasons({"shown_indices": [1]}) == {"invalid visible history"} and reasons({"shown_indices": None}) == {"invalid visible history"}
+    assert "turn counts differ" in reasons(n=1)
+    assert reasons(heads=head.limit(0)) == {"missing header"}
+    assert reasons(heads=head.withColumn("post_id", F.lit("q"))) == {"thread id differs"}
+    audit = replay_audit(human, head, spark.createDataFrame(good, SIM), size=1).collect()
+    assert [(r.post_id, r.n_turns, r.valid, r.reason) for r in audit] == [("p", 2, True, None)]
+    assert replay_audit(human, head, spark.createDataFrame(good, SIM)).first().reason == "fewer than two windows"
