@@ -1,15 +1,18 @@
 """Scores for abusive, hateful and sexual content from the nearest labelled examples.
 
 Labelled texts are cut into stretches (sentences, windows of long ones) and undisguised. Their
-TF-IDF vectors lie in an inverted index whose documents are sorted into blocks; the largest
-weight of each term in each block bounds every cosine in it. A query visits blocks in descending
-order of that bound and stops when no block can beat its k-th neighbour, so the neighbours are
+TF-IDF vectors lie in an inverted index: the postings of a term name the blocks of documents that
+hold it, each with the term's largest weight there, which together bound every cosine in a block.
+Terms whose weights cannot make up the radius by themselves are not looked up to find blocks; of
+the blocks found, those whose bound falls short are skipped. A query visits the others in descending
+order of the bound and stops when no block can beat its k-th neighbour, so the neighbours are
 exact. Neighbours vote with the square of their cosine; votes are calibrated on left-out labels.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -92,8 +95,80 @@ def windows(tokens: list[str]) -> list[list[str]]:
     return out
 
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each first to its end, one range after the other."""
+    length = end - first
+    total = int(length.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    step = np.ones(total, np.int64)
+    full = length > 0
+    first, length = first[full], length[full]
+    starts = np.cumsum(length)[:-1]
+    step[0] = first[0]
+    step[starts] = first[1:] - (first[:-1] + length[:-1] - 1)
+    return np.cumsum(step)
+
+
+class Postings:
+    """Term -> the blocks of docs that hold it, each with the term's largest weight there.
+
+    Blocks are ``size`` docs of the first ``n``; memory goes with what the docs hold, not with
+    vocabulary times blocks.
+    """
+
+    def __init__(self, at: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, size: int, terms: int) -> None:
+        self.n, self.size, self.blocks = n, size, -(-n // size)
+        part = slice(0, at[n])
+        block = np.repeat(np.arange(n) // size, np.diff(at[: n + 1]))
+        term, w = ids[part].astype(np.int64), weights[part]
+        order = np.lexsort((block, term))
+        key = term[order] * max(self.blocks, 1) + block[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1)) if len(key) else np.zeros(0, np.int64)
+        self.max = np.maximum.reduceat(w[order], first) if len(first) else np.zeros(0, np.float32)
+        self.block = block[order][first].astype(np.int32)
+        # the id past the vocabulary stands for unknown terms, which no doc holds
+        self.ptr = np.searchsorted(term[order][first], np.arange(terms + 2))
+        self.top = np.zeros(terms + 1, np.float32)
+        held = np.flatnonzero(np.diff(self.ptr))
+        if len(held):
+            self.top[held] = np.maximum.reduceat(self.max, self.ptr[held])
+
+    def bounds(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The largest cosine that any doc of each block can have with a query."""
+        part = _ranges(self.ptr[ids], self.ptr[ids + 1])
+        each = np.repeat(w, self.ptr[ids + 1] - self.ptr[ids]) * self.max[part]
+        return np.bincount(self.block[part], each, self.blocks)
+
+    def candidates(self, at: np.ndarray, ids: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block), in this order: blocks that may hold a doc within ``least`` of each query.
+
+        Of a query's terms, in order of the most they can add, those that stay below ``least`` all
+        together find no block alone; they add their most to the bounds of the blocks the others find.
+        """
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        most = w * self.top[ids]
+        order = np.lexsort((most, row))
+        row, ids, w, most = row[order], ids[order], w[order], most[order]
+        before = np.concatenate([[0.0], np.cumsum(most, dtype=np.float64)])
+        reach = before[1:] - before[at[row]]
+        find = reach >= least
+        idle = np.zeros(len(at) - 1)
+        np.maximum.at(idle, row[~find], reach[~find])
+        row, ids, w = row[find], ids[find], w[find]
+        n = self.ptr[ids + 1] - self.ptr[ids]
+        part = _ranges(self.ptr[ids], self.ptr[ids + 1])
+        key = np.repeat(row, n) * self.blocks + self.block[part]
+        if not len(key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = np.bincount(key, np.repeat(w, n) * self.max[part], (len(at) - 1) * self.blocks)
+        hit = np.flatnonzero(total)
+        hit = hit[total[hit] + idle[hit // self.blocks] >= least]
+        return hit // self.blocks, hit % self.blocks
+
+
 class Index:
-    """Labelled stretches in blocks, with the largest weight of each term per block."""
+    """Labelled stretches, their vectors and the postings of their terms."""
 
     def __init__(self, docs: list[tuple[str, ...]], cases: np.ndarray, records: list[int]) -> None:
         """docs: token tuples, distinct; cases: share of case votes; records: records per doc."""
@@ -110,21 +185,20 @@ class Index:
         self.docs = [docs[k] for k in order]
         self.cases = np.asarray(cases, np.float32)[order]
         self.records = np.array([records[k] for k in order], np.int32)
-        width = max((len(set(d)) for d in docs), default=1)
-        blocks = -(-n // BLOCK) or 1
-        self.ids = np.full((blocks * BLOCK, width), len(self.vocab), np.int32)
-        self.weights = np.zeros((blocks * BLOCK, width), np.float32)
-        self.top = np.zeros((len(self.vocab) + 1, blocks), np.float32)
-        for k, d in enumerate(self.docs):
-            ids, w = self.vector(d)
-            self.ids[k, : len(ids)], self.weights[k, : len(ids)] = ids, w
-            np.maximum.at(self.top[:, k // BLOCK], ids, w)
-        held = np.flatnonzero(self.cases > 0)  # the first docs
-        self.held = len(held)
-        self.lanes = np.arange(BLOCK)
-        self.case_top = np.zeros((len(self.vocab) + 1, -(-len(held) // CASE_BLOCK)), np.float32)
-        for k, d in enumerate(held):
-            np.maximum.at(self.case_top[:, k // CASE_BLOCK], self.ids[d], self.weights[d])
+        self.at, self.ids, self.weights = self.vectors(self.docs)
+        self.ids = self.ids.astype(np.int32)
+        held = int((self.cases > 0).sum())  # the first docs
+        self.all = Postings(self.at, self.ids, self.weights, n, BLOCK, len(self.vocab))
+        self.held = Postings(self.at, self.ids, self.weights, held, CASE_BLOCK, len(self.vocab))
+
+    def cosines(self, dense: np.ndarray, blocks: np.ndarray, postings: Postings) -> tuple[np.ndarray, np.ndarray]:
+        """(docs, cosines) of all docs in the blocks with a query laid out over the vocabulary."""
+        docs = (blocks[:, None] * postings.size + np.arange(postings.size)).ravel()
+        docs = docs[docs < postings.n]
+        part = _ranges(self.at[docs], self.at[docs + 1])
+        length = self.at[docs + 1] - self.at[docs]
+        own = np.repeat(np.arange(len(docs)), length)
+        return docs, np.bincount(own, dense[self.ids[part]] * self.weights[part], len(docs)).astype(np.float32)
 
     def tokens(self, stretch: str) -> tuple[str, ...]:
         return tuple(_WORD.findall(undisguise(stretch, self.starred)))
@@ -169,26 +243,23 @@ class Index:
         blocks that pass.
         """
         out = np.zeros(len(at) - 1, np.float32)
-        if not self.case_top.shape[1]:
-            return out
         least = CASE_RADIUS - 1e-5  # sums in another order differ by rounding
         dense = np.zeros(len(self.vocab) + 1, np.float32)
-        lanes = self.lanes[:CASE_BLOCK]
-        for a in range(0, len(out), 1000):
-            rows = a + np.flatnonzero(np.diff(at[a : a + 1001]) > 0)
-            if len(rows):
-                part = slice(at[a], at[min(a + 1000, len(out))])
-                terms = self.case_top[ids[part]]
-                terms *= w[part, None]
-                bound = np.add.reduceat(terms, at[rows] - at[a])
-                for k in np.flatnonzero(bound.max(1) >= least):
-                    one = slice(at[rows[k]], at[rows[k] + 1])
-                    dense[ids[one]] = w[one]
-                    docs = (np.flatnonzero(bound[k] >= least)[:, None] * CASE_BLOCK + lanes).ravel()
-                    docs = docs[docs < self.held]
-                    cos = (dense[self.ids[docs]] * self.weights[docs]).sum(1)
-                    out[rows[k]] = cos.max() if cos.max() >= least else 0
-                    dense[ids[one]] = 0
+        for a in range(0, len(out) if self.held.n else 0, 2000):
+            b = min(a + 2000, len(out))
+            part = slice(at[a], at[b])
+            rows, blocks = self.held.candidates(at[a : b + 1] - at[a], ids[part], w[part], least)
+            ends = np.flatnonzero(np.diff(rows, append=-1)) + 1 if len(rows) else rows
+            start = 0
+            for end in ends.tolist():
+                k = a + int(rows[start])
+                one = slice(at[k], at[k + 1])
+                dense[ids[one]] = w[one]
+                dense[-1] = 0  # unknown terms are in no doc
+                cos = self.cosines(dense, blocks[start:end], self.held)[1].max()
+                out[k] = cos if cos >= least else 0
+                dense[ids[one]] = 0
+                start = end
         return out
 
     def nearest(self, ids: np.ndarray, w: np.ndarray, skip: int = -1, best_case: float = 1.0) -> list[tuple[float, int]]:
@@ -197,18 +268,17 @@ class Index:
         ``skip`` leaves out a doc that only one record holds: that record itself. Nothing comes
         back once all neighbours are nearer than ``best_case``: no case is among them.
         """
-        bound = w @ self.top[ids]
+        bound = self.all.bounds(ids, w)
         dense = np.zeros(len(self.vocab) + 1, np.float32)
         dense[ids] = w
+        dense[-1] = 0
         cos, doc, floor = np.zeros(0, np.float32), np.zeros(0, np.int64), RADIUS
-        order = np.flatnonzero(bound >= RADIUS)
+        order = np.flatnonzero(bound >= RADIUS - 1e-5)
         order = order[np.argsort(-bound[order], kind="stable")]
         at = 0
-        while at < len(order) and bound[order[at]] >= floor:
-            part = order[at : at + 8]
+        while at < len(order) and bound[order[at]] >= floor - 1e-5:
+            rows, c = self.cosines(dense, order[at : at + 8], self.all)
             at += 8
-            rows = (part[:, None] * BLOCK + self.lanes).ravel()
-            c = np.einsum("ij,ij->i", dense[self.ids[rows]], self.weights[rows])
             near = c >= floor
             near &= rows != skip
             cos, doc = np.concatenate([cos, c[near]]), np.concatenate([doc, rows[near]])
@@ -358,7 +428,7 @@ def _scorer(shared, detail: bool):
                     memo[parts[owner[j]]] = (vote, " ".join(index.docs[best[1]]), best[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, steps = shared.value
+        index, steps = pickle.loads(shared.value)
         for batch in batches:
             cut = [stretches(_plain(t)) if t else [] for t in batch.column(1).to_pylist()]
             new = list({s for c in cut for s in c if s not in memo})
@@ -381,17 +451,23 @@ def _scorer(shared, detail: bool):
     return run
 
 
-def labelled(labels: DataFrame, texts: DataFrame) -> tuple[list[str], list[float]]:
-    """The labelled texts and their mean ratings; at most MAX_LABELLED records.
+def fitted(labels: DataFrame, texts: DataFrame) -> bytes:
+    """The pickled index and calibration of at most MAX_LABELLED labelled records, fitted in one task.
 
-    labels: k, rater, rating (repeated rows count once); texts: k, text.
+    labels: k, rater, rating (repeated rows count once; a record has the mean rating); texts: k, text.
     """
     mean = labels.select("k", "rater", "rating").distinct().groupBy("k").agg(F.avg("rating").alias("rating"))
     mean = mean.orderBy(F.xxhash64("k"), "k").limit(MAX_LABELLED)
-    rows = texts.join(F.broadcast(mean), "k").select("k", "text", "rating").dropDuplicates(["k"]).toArrow()
-    order = np.argsort(np.array(rows.column("k").to_pylist(), object)) if rows.num_rows else []
-    text, rating = rows.column("text").to_pylist(), rows.column("rating").to_pylist()
-    return [text[k] for k in order], [rating[k] for k in order]
+    rows = texts.join(F.broadcast(mean), "k").select("k", "text", "rating").dropDuplicates(["k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches]
+        text = [t for b in held for t in b.column(1).to_pylist()]
+        rating = [r for b in held for r in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(text, rating))], pa.binary())], ["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("k").mapInArrow(run, "model binary").collect()
+    return bytes(one[0]["model"]) if one else pickle.dumps(fit([], []))
 
 
 def score(texts: DataFrame, labels: DataFrame, detail: bool = True) -> DataFrame:
@@ -402,8 +478,7 @@ def score(texts: DataFrame, labels: DataFrame, detail: bool = True) -> DataFrame
     ``detail`` false they are left out. Without labels every score is 0. Every stretch of every
     text is compared with the whole index; repeated rows come out repeated.
     """
-    index = fit(*labelled(labels, texts))
-    shared = texts.sparkSession.sparkContext.broadcast(index)
+    shared = texts.sparkSession.sparkContext.broadcast(fitted(labels, texts))
     return texts.select("k", "text").mapInArrow(
         _scorer(shared, detail), "k string, score double, evidence string, similarity double"
     )
