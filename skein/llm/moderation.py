@@ -3,8 +3,7 @@
 Labelled texts are cut into stretches (sentences, windows of long ones) and undisguised. Their
 TF-IDF vectors lie in an inverted index: the postings of a term name the blocks of documents that
 hold it, each with the term's largest weight there, which together bound every cosine in a block.
-Terms whose weights cannot make up the radius by themselves are not looked up to find blocks; of
-the blocks found, those whose bound falls short are skipped. A query visits the others in descending
+Blocks whose bound falls short of the radius are skipped. A query visits the others in descending
 order of the bound and stops when no block can beat its k-th neighbour, so the neighbours are
 exact. Neighbours vote with the square of their cosine; votes are calibrated on left-out labels.
 """
@@ -15,6 +14,7 @@ import math
 import pickle
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -136,34 +136,38 @@ class Postings:
 
     def bounds(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The largest cosine that any doc of each block can have with a query."""
-        part = _ranges(self.ptr[ids], self.ptr[ids + 1])
-        each = np.repeat(w, self.ptr[ids + 1] - self.ptr[ids]) * self.max[part]
-        return np.bincount(self.block[part], each, self.blocks)
+        out = np.zeros(self.blocks, np.float32)
+        for x, a, b in zip(w, self.ptr[ids].tolist(), self.ptr[ids + 1].tolist()):
+            out[self.block[a:b]] += x * self.max[a:b]  # a term names a block once
+        return out
+
+    def likely(self, ids: np.ndarray, w: np.ndarray, terms: int = 4, n: int = 2) -> np.ndarray:
+        """A few blocks in which the terms of a query that can add most come together."""
+        most = w * self.top[ids]
+        order = np.argsort(-most)[:terms]
+        first = ids[order[0]]
+        blocks = self.block[self.ptr[first] : self.ptr[first + 1]]
+        total = w[order[0]] * self.max[self.ptr[first] : self.ptr[first + 1]]
+        for k in order[1:]:
+            a, b = self.ptr[ids[k]], self.ptr[ids[k] + 1]
+            if b > a:
+                at = np.minimum(np.searchsorted(self.block[a:b], blocks), b - a - 1)
+                total = total + np.where(self.block[a:b][at] == blocks, w[k] * self.max[a:b][at], 0)
+        return blocks[np.argsort(-total)[:n]]
 
     def candidates(self, at: np.ndarray, ids: np.ndarray, w: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, block), in this order: blocks that may hold a doc within ``least`` of each query.
+        """(query, block), in this order: the blocks whose bound for a query is at least ``least``.
 
-        Of a query's terms, in order of the most they can add, those that stay below ``least`` all
-        together find no block alone; they add their most to the bounds of the blocks the others find.
+        Queries whose terms cannot make it up in any block are not looked up.
         """
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        most = w * self.top[ids]
-        order = np.lexsort((most, row))
-        row, ids, w, most = row[order], ids[order], w[order], most[order]
-        before = np.concatenate([[0.0], np.cumsum(most, dtype=np.float64)])
-        reach = before[1:] - before[at[row]]
-        find = reach >= least
-        idle = np.zeros(len(at) - 1)
-        np.maximum.at(idle, row[~find], reach[~find])
-        row, ids, w = row[find], ids[find], w[find]
-        n = self.ptr[ids + 1] - self.ptr[ids]
-        part = _ranges(self.ptr[ids], self.ptr[ids + 1])
-        key = np.repeat(row, n) * self.blocks + self.block[part]
-        if not len(key):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        total = np.bincount(key, np.repeat(w, n) * self.max[part], (len(at) - 1) * self.blocks)
-        hit = np.flatnonzero(total)
-        hit = hit[total[hit] + idle[hit // self.blocks] >= least]
+        able = np.bincount(row, w * self.top[ids], len(at) - 1)[row] >= least
+        row, ids, w = row[able], ids[able], w[able]
+        first, end = self.ptr[ids], self.ptr[ids + 1]
+        part = _ranges(first, end)
+        key = np.repeat(row * self.blocks, end - first) + self.block[part]
+        total = np.bincount(key, np.repeat(w, end - first) * self.max[part], (len(at) - 1) * self.blocks)
+        hit = np.flatnonzero(total >= least)
         return hit // self.blocks, hit % self.blocks
 
 
@@ -193,12 +197,14 @@ class Index:
 
     def cosines(self, dense: np.ndarray, blocks: np.ndarray, postings: Postings) -> tuple[np.ndarray, np.ndarray]:
         """(docs, cosines) of all docs in the blocks with a query laid out over the vocabulary."""
-        docs = (blocks[:, None] * postings.size + np.arange(postings.size)).ravel()
-        docs = docs[docs < postings.n]
-        part = _ranges(self.at[docs], self.at[docs + 1])
-        length = self.at[docs + 1] - self.at[docs]
-        own = np.repeat(np.arange(len(docs)), length)
-        return docs, np.bincount(own, dense[self.ids[part]] * self.weights[part], len(docs)).astype(np.float32)
+        docs, cos = [], []
+        for a in (blocks * postings.size).tolist():
+            b = min(a + postings.size, postings.n)
+            at = self.at[a : b + 1]
+            part = slice(at[0], at[-1])
+            docs.append(np.arange(a, b))
+            cos.append(np.add.reduceat(dense[self.ids[part]] * self.weights[part], at[:-1] - at[0]))
+        return (np.concatenate(docs), np.concatenate(cos)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.float32))
 
     def tokens(self, stretch: str) -> tuple[str, ...]:
         return tuple(_WORD.findall(undisguise(stretch, self.starred)))
@@ -245,8 +251,9 @@ class Index:
         out = np.zeros(len(at) - 1, np.float32)
         least = CASE_RADIUS - 1e-5  # sums in another order differ by rounding
         dense = np.zeros(len(self.vocab) + 1, np.float32)
-        for a in range(0, len(out) if self.held.n else 0, 2000):
-            b = min(a + 2000, len(out))
+        some = max(1, min(2000, 4_000_000 // max(1, self.held.blocks)))
+        for a in range(0, len(out) if self.held.n else 0, some):
+            b = min(a + some, len(out))
             part = slice(at[a], at[b])
             rows, blocks = self.held.candidates(at[a : b + 1] - at[a], ids[part], w[part], least)
             ends = np.flatnonzero(np.diff(rows, append=-1)) + 1 if len(rows) else rows
@@ -268,17 +275,21 @@ class Index:
         ``skip`` leaves out a doc that only one record holds: that record itself. Nothing comes
         back once all neighbours are nearer than ``best_case``: no case is among them.
         """
-        bound = self.all.bounds(ids, w)
         dense = np.zeros(len(self.vocab) + 1, np.float32)
         dense[ids] = w
         dense[-1] = 0
+        if best_case < 1:  # most queries have enough nearer docs where their weightiest terms meet
+            rows, c = self.cosines(dense, self.all.likely(ids, w), self.all)
+            if ((c > best_case + 2e-5) & (rows != skip)).sum() >= NEIGHBOURS:
+                return []
+        bound = self.all.bounds(ids, w)
         cos, doc, floor = np.zeros(0, np.float32), np.zeros(0, np.int64), RADIUS
         order = np.flatnonzero(bound >= RADIUS - 1e-5)
         order = order[np.argsort(-bound[order], kind="stable")]
-        at = 0
+        at, step = 0, 1
         while at < len(order) and bound[order[at]] >= floor - 1e-5:
-            rows, c = self.cosines(dense, order[at : at + 8], self.all)
-            at += 8
+            rows, c = self.cosines(dense, order[at : at + step], self.all)
+            at, step = at + step, min(8, 2 * step)
             near = c >= floor
             near &= rows != skip
             cos, doc = np.concatenate([cos, c[near]]), np.concatenate([doc, rows[near]])
@@ -428,7 +439,7 @@ def _scorer(shared, detail: bool):
                     memo[parts[owner[j]]] = (vote, " ".join(index.docs[best[1]]), best[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, steps = pickle.loads(shared.value)
+        index, steps = pickle.loads(zlib.decompress(shared.value))
         for batch in batches:
             cut = [stretches(_plain(t)) if t else [] for t in batch.column(1).to_pylist()]
             new = list({s for c in cut for s in c if s not in memo})
@@ -464,10 +475,10 @@ def fitted(labels: DataFrame, texts: DataFrame) -> bytes:
         held = [b for b in batches]
         text = [t for b in held for t in b.column(1).to_pylist()]
         rating = [r for b in held for r in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(text, rating))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(fit(text, rating)))], pa.binary())], ["model"])
 
     one = rows.repartition(1).sortWithinPartitions("k").mapInArrow(run, "model binary").collect()
-    return bytes(one[0]["model"]) if one else pickle.dumps(fit([], []))
+    return bytes(one[0]["model"]) if one else zlib.compress(pickle.dumps(fit([], [])))
 
 
 def score(texts: DataFrame, labels: DataFrame, detail: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.packing import containers, pack, pieces
+from skein.llm.packing import containers, pack
 from skein.llm.tokens import with_tokens
 from skein.sources.tables import table
 
@@ -20,9 +20,8 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that must be split for the train window."""
-    cut = pieces(_sizes(spark, sf_dir), "doc_id", "n_tokens", _capacities(spark, sf_dir)["train_window"])
-    return cut.filter("n_pieces > 1").select("doc_id").distinct()
+    """Documents that the packing into train windows splits."""
+    return p8_train_packed(spark, sf_dir).filter("n_pieces > 1").select("doc_id").distinct()
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:

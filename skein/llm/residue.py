@@ -75,18 +75,24 @@ javascript pour afficher ce contenu|service indisponible, veuillez réessayer pl
 expiré|page introuvable|activa javascript para seguir leyendo|servicio no disponible, inténtalo de nuevo en 00
 minutos|página no encontrada|acceso denegado|error 000: página no encontrada|su sesión ha caducado|
 """
-#: Talk about such texts and the standing notes of bots: counted to the model of prose.
+#: Talk about such texts and the standing notes of bots, made up for this module as the seeds are:
+#: counted to the model of prose.
 MENTIONS = """
-i keep getting an error page from the shop, does anyone else?|why do i see a bad gateway when ordering?|the
-error page said access denied, so i wrote to them|that page not found joke is great|their site wants
-javascript enabled, which is silly|the manual page says enable javascript, any copy?|use lorem ipsum for the
-mock up and real words later|there is a lorem ipsum sticker on my box|how do i fill the name fields in these
-labels?|write the user in the template and it renders the name|the placeholder gets replaced at build time|in
-my script the title prints fine|the site was down for a day and i got a timeout|the server error went away
-after a while|i was asked to enable cookies on the shop page|thanks for posting in this forum. a volunteer will have a
-look within 00 hours|welcome to the community. please keep replies on topic; 00 readers are following this
-thread|your post was received and is number 00 in the queue|this thread is sorted by new because it has
-passed 00 replies|i am a bot. read the rules in the side bar|reminder: questions are collected every friday|
+my browser shows a gateway error whenever the store is busy|did anybody else get logged out of the app last
+night?|it says the page does not exist, although i bookmarked it|i had to switch on scripts for the booking
+site before it worked|their cookie banner covers half of the screen|the designer left latin dummy copy on the
+leaflet|we used lorem ipsum on the poster until the real words arrived|how do i make the mail merge put in the
+first name?|the variable in braces is swapped for the name of the customer|my script printed null so i added a
+check|after the update the log is full of timeouts|support told me that the service was unavailable because of
+maintenance|solving a captcha every time i log in is tiring|i typed asdf to test the keyboard|what does this
+error code mean on the display?|the machine shows an error and stops|the form keeps asking me to enable
+javascript, so i gave up|why does the shop say access denied when i am signed in?|a friend got a server error and
+waited an hour|the label still had a placeholder where the name should be|the template fills in the date by
+itself|can someone explain the not found message in the manual?|welcome to the group, be kind and search before
+you ask|this is an automatic message, write to the team with questions|somebody from the team will read your
+question within 00 hours|busy threads are sorted by the newest reply|your post is number 00 in the queue for
+review|weekly questions belong in the pinned post|please read the rules before you post here|i am an automated
+account and cannot answer|
 """
 #: Names and signs that unfilled templates are written with.
 NAMES = (

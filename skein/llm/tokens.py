@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 #: Folder of the vocabulary files and the file used; both are parameters.
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters handed to the tokenizer at once; longer texts are cut at white space.
+#: Characters after which a text handed to the tokenizer is cut at the next lone space.
 CHUNK = 100_000
+_LONE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 # Fixed value: the pattern that the vocabulary's byte-level BPE splits text with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,13 +33,15 @@ def encoding(path: str):
 
 
 def count(text: str, path: str) -> int:
-    """Tokens of a whole text; very long texts are encoded in chunks that end at white space."""
+    """Tokens of a whole text; long texts are encoded in chunks.
+
+    Chunks end before a lone space between words, where the pattern always begins a new piece, so
+    the count is that of the text as a whole; a stretch without such a space is one chunk.
+    """
     enc, total, at = encoding(path), 0, 0
     while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            cut = text.rfind(" ", at + CHUNK // 2, end)
-            end = cut if cut > 0 else end
+        m = _LONE.search(text, at + CHUNK) if at + CHUNK < len(text) else None
+        end = m.start() if m else len(text)
         total += len(enc.encode_ordinary(text[at:end]))
         at = end
     return total

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm.mixing import capped_mean, mix, report, thresholds
-from skein.llm.packing import containers, pack, plan
+from skein.llm.packing import _best_fit, containers, cost, pack, plan
 from skein.llm.ranks import rank_within
-from skein.llm.tokens import TOKENIZERS, VOCABULARY, count, with_tokens
+from skein.llm.tokens import TOKENIZERS, VOCABULARY, count, encoding, with_tokens
 
 
 def one_by_one(sizes, capacities):
@@ -30,7 +30,7 @@ def test_plan_equals_item_by_item(seed):
     histogram = Counter(sizes)
     room = {}
     seen = Counter()
-    for size, a, b, per, first in plan(histogram, [16, 40]):
+    for size, a, b, per, first in _best_fit(histogram, [16, 40], False):
         for r in range(a, b):
             room.setdefault(first + (r - a) // per, []).append(size)
             seen[size] += 1
@@ -40,6 +40,28 @@ def test_plan_equals_item_by_item(seed):
     assert max(used) <= 40
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_joint_plan_is_whole_and_never_dearer(seed):
+    rnd = random.Random(seed)
+    histogram = Counter(rnd.choice([rnd.randint(1, 40), 9, 21]) for _ in range(400))
+    slots = plan(histogram, [16, 24, 40])
+    seen, room = Counter(), Counter()
+    for size, a, b, per, first in slots:
+        seen[size] += b - a
+        for r in range(a, b):
+            room[first + (r - a) // per] += size
+    assert seen == histogram and max(room.values()) <= 40
+    fits = lambda n: next(c for c in (16, 24, 40) if c >= n)
+    assert abs(cost(slots, [16, 24, 40]) - sum(fits(n) + 0.016 for n in room.values())) < 1e-6
+    assert cost(slots, [16, 24, 40]) <= cost(_best_fit(histogram, [16, 24, 40], False), [16, 24, 40])
+
+
+def test_plan_prefers_the_capacity_that_wastes_less():
+    # 9 fits 16 alone with 7 unused, 40 four times with 4 unused
+    slots = plan({9: 400}, [16, 40])
+    assert cost(slots, [16, 40]) < cost(_best_fit({9: 400}, [16, 40], False), [16, 40])
+
+
 def test_pack(spark):
     rows = [(k, (k * 37) % 23) for k in range(400)] + [(900, 130), (901, None), (902, 0), (903, 5), (903, 5)]
     df = spark.createDataFrame(rows, "id long, size long").withColumns({"n": F.lit("clash"), "piece": F.lit(7), "rank": F.lit(1)})
@@ -87,6 +109,8 @@ def test_capped_poisson():
 def test_tokens(spark):
     path = f"{TOKENIZERS}/{VOCABULARY}"
     text = "Hello world, this is a test. " * 20000
-    assert abs(count(text, path) - 20000 * count("Hello world, this is a test. ", path)) < 20100
+    assert count(text, path) == len(encoding(path).encode_ordinary(text))
+    odd = "ab  c1 \n" * 30000 + "x" * 1500 + " y z " * 20000
+    assert count(odd, path) == len(encoding(path).encode_ordinary(odd))
     df = spark.createDataFrame([(1, "two words"), (2, None), (3, ""), (4, "two words")], "id long, t string")
     assert {r.id: r.n_tokens for r in with_tokens(df, "id", "t").collect()} == {1: 2, 2: 0, 3: 0, 4: 2}
