@@ -40,8 +40,8 @@ def correlations(rows: DataFrame, columns: list[str], against: str, least: int =
     """
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _fine(c).alias("x"), _fine(against).alias("y")) for c in columns])).alias("v"))
     pair = long.select("v.*").filter("x is not null and y is not null")
-    g = pair.groupBy("column").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return g.select("column", "n", F.when((F.col("n") >= least) & (F.col("sx") > 1e-9) & (F.col("sy") > 1e-9), F.col("r")).alias("r"))
+    g = pair.groupBy("column").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    return g.select("column", "n", F.when((F.col("n") >= least) & (F.col("sx") > 1e-9) & (F.col("sy") > 1e-9), F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))).alias("r"))
 
 
 def cohens_d(rows: DataFrame, group: str, a, b, columns: list[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def cohens_d(rows: DataFrame, group: str, a, b, columns: list[str]) -> DataFrame
     m = long.groupBy("v.metric").agg(
         *[e.alias(f"{n}_{k}") for k, g in (("a", a), ("b", b)) for n, e in (("n", side(F.count, g)), ("m", side(F.avg, g)), ("v", side(F.var_samp, g)))]
     )
-    pooled = ((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / (F.col("n_a") + F.col("n_b") - 2)
+    pooled = F.try_divide((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b"), F.col("n_a") + F.col("n_b") - 2)
     d = F.when((F.col("n_a") < 2) | (F.col("n_b") < 2), None).when(pooled <= 1e-12, F.lit(0.0)).otherwise((F.col("m_a") - F.col("m_b")) / F.sqrt(pooled))
     return m.select("metric", d.alias("d"), "n_a", "n_b")
 

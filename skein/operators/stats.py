@@ -57,7 +57,7 @@ def anisotropy(rows: DataFrame) -> DataFrame:
     """
     v = rows.filter("e is not null").withColumn("__v", array_to_vector("e"))
     sums = v.groupBy("thread_id").agg(vector_to_array(Summarizer.sum(F.col("__v"))).alias("s"), F.count("*").alias("n"))
-    own = sums.select("n", dot(F.col("s"), F.col("s")).alias("q")).agg((F.sum(F.col("q") - F.col("n")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("within"))
+    own = sums.select("n", dot(F.col("s"), F.col("s")).alias("q")).agg(F.try_divide(F.sum(F.col("q") - F.col("n")), F.sum(F.col("n") * (F.col("n") - 1))).alias("within"))
     every = v.agg(vector_to_array(Summarizer.sum(F.col("__v"))).alias("s"), F.count("*").alias("n"))
     every = every.filter("n > 1").select(((dot(F.col("s"), F.col("s")) - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("overall"))
     verdict = F.when(F.col("overall") > 0.3, "strong").when(F.col("overall") > 0.1, "mild").otherwise("none")

@@ -43,14 +43,69 @@ def dump(spark: SparkSession, path: str, least: int = 0, most: int | None = None
     return out.filter((n > 0) & (n >= least) & (F.lit(True) if most is None else n <= most))
 
 
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file: the lines of (zstd-compressed) text files as they are, blank ones left out."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return rows.filter(F.length(F.trim("value")) > 0)
+
+
+def thread_by_id(spark: SparkSession, path: str, post_id: str, least: int = 0) -> DataFrame:
+    """The thread of one id, if the dump holds it; of repeated ones any."""
+    return dump(spark, path, least).filter(F.col("post_id") == post_id).limit(1)
+
+
+def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON-lines files; a line that does not parse raises ValueError with file and line.
+
+    A leading byte-order mark and blank lines are skipped. Lines are numbered only where one is bad.
+    """
+    bad = "_corrupt_record"
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.filter(F.trim("value") != "")
+    rows = lines.select("file", "value", F.from_json("value", f"{schema}, {bad} string", {"columnNameOfCorruptRecord": bad}).alias("r"))
+    first = rows.filter(F.col(f"r.{bad}").isNotNull()).select("file", "value").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}:{_line_of(spark, first[0]['file'], first[0]['value'])}: invalid JSON")
+    return rows.select("r.*").drop(bad)
+
+
+def _line_of(spark: SparkSession, file: str, value: str) -> int:
+    """Number of the first line of a file with this text; the file is read line by line, once."""
+    for k, r in enumerate(spark.read.text(file).coalesce(1).toLocalIterator(), 1):
+        if r["value"].lstrip("\ufeff") == value:
+            return k
+    return 0
+
+
+def simulations(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All JSON documents below a folder, one a file, with their file name; in order of name they are first to last."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.json")
+    return rows.json(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
 def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(headers, turns) of simulated records: a ``meta`` line followed by turn lines.
 
+    Both have file_id, the name of the file without its ending, which is the thread the file is for.
     A line that does not parse, such as one cut off at the end of a file, is left out.
     """
-    rows = spark.read.text(path, wholetext=False).select(F.from_json("value", TURN).alias("r"), F.col("_metadata.file_path").alias("file"))
-    rows = rows.filter("r is not null and (r.type = 'meta' or r.position is not null)").select("file", "r.*")
-    return rows.filter("type = 'meta'").select("file", "post_id", "n_turns"), rows.filter("type is null").drop("type", "n_turns", "post_id")
+    rows = spark.read.text(path, wholetext=False).select(F.from_json("value", TURN).alias("r"), F.col("_metadata.file_name").alias("n"))
+    rows = rows.withColumn("file_id", F.regexp_replace("n", r"\.[^.]*$", "")).filter("r is not null and (r.type = 'meta' or r.position is not null)")
+    rows = rows.select("file_id", "r.*")
+    return rows.filter("type = 'meta'").select("file_id", "post_id", "n_turns"), rows.filter("type is null").drop("type", "n_turns", "post_id")
+
+
+def resume_at(headers: DataFrame, turns: DataFrame) -> DataFrame:
+    """file_id, n_done, n_turns, next: where the generation of each thread goes on.
+
+    Turns count up to the first gap in their positions, as what follows one cannot be relied on.
+    """
+    per = turns.groupBy("file_id").agg(F.array_sort(F.collect_set("position")).alias("p"))
+    gap = F.array_position(F.transform("p", lambda x, i: (x == i).cast("int")), 0)
+    done = F.when(gap > 0, gap - 1).otherwise(F.size("p")).cast("long")
+    out = headers.groupBy("file_id").agg(F.max("n_turns").alias("n_turns")).join(per, "file_id", "left")
+    n = F.coalesce(done, F.lit(0))
+    return out.select("file_id", n.alias("n_done"), "n_turns", F.when(n < F.col("n_turns"), n).alias("next"))
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
