@@ -133,6 +133,28 @@ NAME = re.compile(
     rf"|{_NO}({_CAP}),[ ]{_GIVEN}\b(?![ ](?:[A-Z]\.[ ])?{_PARTICLE}[A-ZÀ-Þ][\w'’-]{{3,}}ez?\b))"
 )
 
+# Words after which, or before which, two capitalised words name a person, whoever it is.
+WHO = (
+    "neighbou?r|landlord|landlady|brother|sister|uncle|aunt|cousin|boss|colleague|coworker|friend|teacher|tenant|husband|wife|father|mother"
+    "|doctor|dentist|lawyer|manager|roommate|flatmate|Nachbar(?:in)?|Vermieter(?:in)?|Kolleg(?:e|in)|Freund(?:in)?|Chef(?:in)?"
+    "|voisine?|propriétaire|collègue|amie?|vecin[oa]|caser[oa]|compañer[oa]|amig[oa]|jef[ea]"
+)
+BEFORE = rf"(?:(?i:my|our|his|her|their|mein|meine|unser|unsere|mon|ma|mi|the)[ ](?:{WHO})[ ]|(?i:signed(?: by)?|ask for|ask|yours|regards|sincerely|my name is|i am called|ich heiße|je m'appelle|me llamo)[,:]?[ ])"
+AFTER = rf"(?:[ ]from[ ](?:next[ ]door|work|upstairs|downstairs|across)|[ ](?:called|phoned|rang|emailed|texted|signed|told[ ]me|lives)\b|,[ ](?:my|our|mein|meine|mon|ma|mi)[ ](?:{WHO})\b)"
+_FIRST = rf"{_NO}[A-ZÀ-ÖØ-Þ][a-zß-ÿ’'-]{{1,}}"
+#: A person nobody listed, by what stands next to the name; a number or a third capitalised word
+#: after it speaks for a thing or a shop.
+STRANGER = re.compile(
+    rf"\b{BEFORE}({_FIRST}[ ](?:[A-ZÀ-Þ]\.[ ])?{_PARTICLE}{_NO}[A-ZÀ-ÖØ-Þ][a-zß-ÿ’'-]{{1,}})(?![\w-]|[ ](?:\d|[A-ZÀ-Þ][a-z]))"
+    rf"|(?<![\w-])({_FIRST}[ ](?:[A-ZÀ-Þ]\.[ ])?{_PARTICLE}{_NO}[A-ZÀ-ÖØ-Þ][a-zß-ÿ’'-]{{1,}})(?={AFTER})"
+)
+
+_PARTICLES = "(?:van der|van den|van de|van|von der|von|de la|del|de|di|da|zu|le|la|ten|ter)"
+_NEAR_BEFORE = rf"\b(?:(?i:my|our|his|her|their|mein|meine|unser|unsere|mon|ma|mi|the) (?:{WHO}) |(?i:signed(?: by)?|ask for|ask|yours|regards|sincerely|my name is|i am called|je m'appelle|me llamo)[,:]? )"
+_NEAR_AFTER = rf"(?: from (?:next door|work|upstairs|downstairs|across)| (?:called|phoned|rang|emailed|texted|signed|told me|lives)\b|, (?:my|our|mein|meine|mon|ma|mi) (?:{WHO})\b)"
+_TWO = re.compile(rf"[A-ZÀ-ÖØ-Þ][a-zß-ÿ’'-]+[ ](?:[A-ZÀ-Þ]\.[ ])?(?:{_PARTICLES}[ ])?[A-ZÀ-ÖØ-Þ][a-zß-ÿ]")
+_CAP_BEFORE = re.compile(r"[A-ZÀ-ÖØ-Þ][\w’'-]*[ ]$")
+
 #: What a text must hold for any of the detectors to fire; RE2 patterns over whole columns. Texts
 #: that normalise() may change pass whole (last two), others hold what a detector asks for.
 _NEEDED = (
@@ -145,6 +167,7 @@ _NEEDED = (
     rf"(?i)\b(?:{_DIGIT})[\s,;.-]{{1,2}}(?:{_DIGIT})[\s,;.-]{{1,2}}(?:{_DIGIT})[\s,;.-]",
     rf"\b(?:{'|'.join(GIVEN)})\b|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?"
     r"|Sra?|Sir|Doña)\b",
+    rf"{_NEAR_BEFORE}[A-Z][a-z'-]+ (?:[A-Z]\. )?(?:{_PARTICLES} )?[A-Z][a-z]|[A-Z][a-z'-]+ (?:[A-Z]\. )?(?:{_PARTICLES} )?[A-Z][a-z'-]+{_NEAR_AFTER}",
     r"[^\x00-\x7f]|[\x0b\x1c-\x1f]",
     r"</?[a-zA-Z]|&(?:amp;)?(?:lt|#60);|&(?:#46|period|nbsp);|\\(?:textbf|textit|emph|underline|text)\{|\}|\*|~~|''|`|>!|!<|\[\[|\]\]|\]\(https?:",
 )
@@ -239,6 +262,11 @@ def find(source: str) -> list[tuple[int, int, str]]:
         take(*m.span(), "address")
     for m in NAME.finditer(text):
         take(*m.span(), "name")
+    if _TWO.search(text):
+        for m in STRANGER.finditer(text):
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 1 or not _CAP_BEFORE.search(text, max(0, a - 40), a):
+                take(a, b, "name")
     return sorted(out)
 
 

@@ -72,3 +72,26 @@ def test_filter_lets_all_found_through(spark):
     for k, s in enumerate(DISGUISED + CLEAN):
         assert got[str(k)].text == redact(s, find(s))
     assert {r.id for r in pii_types(df, "id", "t").collect()} == {str(k) for k in range(len(DISGUISED))}
+
+
+#: Names in none of the lists, as people mention them.
+STRANGERS = [
+    "My neighbour Priya Raman called about it", "Kofi Mensah from next door has one", "Ask Wei Zhang, he knows", "Signed, Svetlana Petrova",
+    "our landlord Babajide Oyelaran said no", "Mein Nachbar Detlef Kowalczyk hat eins", "then Tiago Brandão phoned", "I met Anneke de Wit, my sister, there",
+    "regards, Mbali Dlamini", "Yuki Tanaka told me to wait",
+]
+NO_STRANGERS = [
+    "Ask Iron Heron Supplies", "my neighbour Zorax 950 called", "the kids called", "My Old Kettle lives on", "Ask for Help", "Signed, Sealed", "Regards from Lake Tarn Lodge",
+    "Lumrava Prime 20 called home", "My friend told me", "ask The Shop", "our landlord was right about the inlet seal",
+]
+
+
+def test_names_in_no_list():
+    hit = [s for s in STRANGERS if {k for *_, k in find(s)} == {"name"}]
+    assert len(hit) >= 0.9 * len(STRANGERS)
+    assert [s for s in NO_STRANGERS if find(s)] == []
+
+
+def test_filter_lets_strangers_through(spark):
+    df = spark.createDataFrame([(str(k), s) for k, s in enumerate(STRANGERS)], "id string, t string")
+    assert {r.id for r in pii_types(df, "id", "t").collect()} == {str(k) for k, s in enumerate(STRANGERS) if find(s)}
