@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.markup import strip_markup, with_markup
+from skein.llm.pages import first_link, without_shared
 from skein.sources.tables import table
 
 SOURCES = (("comments", "id", "body"), ("threads", "post_id", "selftext"))
@@ -32,4 +33,15 @@ def p5_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(spark, sf_dir, strip_markup).withColumn("kinds", F.array_join("kinds", ",")).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean_text": p5_clean_text}
+def p5_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every record the lines it shares with the record whose first link is nearest by URL path on the host."""
+
+    def run(rows: DataFrame, key: str, text: str) -> DataFrame:
+        host, path = first_link(text)
+        pages = rows.select(key, text, host.alias("host"), path.alias("path")).distinct()
+        return without_shared(pages, key, "host", "path", text).select(key, "n_lines", "n_shared")
+
+    return _each(spark, sf_dir, run)
+
+
+QUERIES = {"p5_found": p5_found, "p5_clean_text": p5_clean_text, "p5_page_lines": p5_page_lines}
