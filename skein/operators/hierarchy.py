@@ -103,13 +103,19 @@ def traverse(ids: list[str], parent: list[int], paths: bool = True) -> Iterator[
             x = stack.pop()
             order.append(x)
             stack.extend(children[x])
+        # every node of a circle lies below every other one and itself
+        for y in on:
+            yield ids[y], None, None, None, len(nodes) if paths else None, cycle, ids[y] == cycle, None
+        if not paths:
+            depth: dict[int, int] = {}
+            for x in order:
+                d = depth[x] = depth.get(parent[x], -1) + 1
+                yield (ids[x], None, None, None, None, cycle, False, None) if on else (ids[x], None, d, ids[starts[0]], None, None, False, None)
+            continue
         size = dict.fromkeys(order, 0)
         for x in reversed(order):
             if parent[x] in size:
                 size[parent[x]] += size[x] + 1
-        # every node of a circle lies below every other one and itself
-        for y in on:
-            yield ids[y], None, None, None, len(nodes) if paths else None, cycle, ids[y] == cycle, None
         way: list[str] = []
         level = dict.fromkeys(starts, 0)
         for x in order:
@@ -118,11 +124,10 @@ def traverse(ids: list[str], parent: list[int], paths: bool = True) -> Iterator[
             way.append(ids[x])
             for c in children[x]:
                 level[c] = d + 1
-            n = size[x] if paths else None
             if on:
-                yield ids[x], None, None, None, n, cycle, False, list(way) if paths else None
+                yield ids[x], None, None, None, size[x], cycle, False, list(way)
             else:
-                yield ids[x], list(way) if paths else None, d, way[0], n, None, False, None
+                yield ids[x], list(way), d, way[0], size[x], None, False, None
 
 
 def _walk(paths: bool):

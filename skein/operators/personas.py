@@ -94,12 +94,13 @@ def history_stats(turns: DataFrame, thin_below: int = 5, top: int = 5) -> DataFr
 
 
 def author_packs(turns: DataFrame, n: int = 6, most: int = 160) -> DataFrame:
-    """author, lengths, samples: the sorted lengths of an author's comments and clipped samples.
+    """author, lengths, samples: how often an author wrote comments of each length, and clipped samples.
 
-    turns: author, post_id, id, pos, body, thread_created. Lengths are what the author wrote, one
-    number a comment.
+    turns: author, post_id, id, pos, body, thread_created. lengths: (n_chars, n) by n_chars, so that
+    an author of any number of comments takes the place of their distinct lengths.
     """
-    lengths = turns.groupBy("author").agg(F.sort_array(F.collect_list(F.length("body").cast("long"))).alias("lengths"))
+    counts = turns.groupBy("author", F.length("body").cast("long").alias("n_chars")).agg(F.count("*").alias("n"))
+    lengths = counts.groupBy("author").agg(F.array_sort(F.collect_list(F.struct("n_chars", "n"))).alias("lengths"))
     first = author_samples(turns, n).join(turns.select("post_id", "id", "body"), ["post_id", "id"])
     one = F.struct("rank", "post_id", clipped(F.col("body"), most).alias("body"))
     samples = first.groupBy("author").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: F.struct(s["post_id"].alias("post_id"), s["body"].alias("body"))).alias("samples"))

@@ -122,7 +122,8 @@ def author_packs(spark: SparkSession, d: str) -> DataFrame:
     """Number and total of lengths and the samples of each author's pack."""
     t = turns(spark, d).join(threads(spark, d).select("post_id", F.col("created_utc").alias("thread_created")), "post_id", "left")
     p = personas.author_packs(t)
-    return p.select("author", F.size("lengths").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"), F.size("samples").alias("n_samples"))
+    total = lambda f: F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    return p.select("author", total(lambda x: x["n"]).alias("n"), total(lambda x: x["n"] * x["n_chars"]).alias("chars"), F.size("samples").alias("n_samples"))
 
 
 def eligibility_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +354,7 @@ k AS (SELECT DISTINCT author, CASE WHEN n <= 5 THEN j ELSE CAST(round_even(j * (
 SELECT author, id, CAST(n_chars AS INTEGER) AS n_chars FROM r JOIN k USING (author, i)""",
     "upper_median": _TURNS + " SELECT author, CAST(list_sort(list(length(body)))[count(*) // 2 + 1] AS INTEGER) AS median FROM tu GROUP BY 1",
     "token_budgets": "SELECT author, CAST(least(greatest(CAST(floor(stats.len_p90 / 3.5) AS BIGINT) + 60, 80), 400) AS BIGINT) AS max_tokens FROM persona_cards WHERE stats IS NOT NULL",
-    "author_packs": _TURNS + """ SELECT author, CAST(count(*) AS INTEGER) AS n, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(least(6, count(DISTINCT post_id)) AS INTEGER) AS n_samples FROM tu GROUP BY 1""",
+    "author_packs": _TURNS + """ SELECT author, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(least(6, count(DISTINCT post_id)) AS INTEGER) AS n_samples FROM tu GROUP BY 1""",
     "eligibility_manifest": _TURNS + _CROSS + _PER + """,
 k AS (SELECT post_id, author, row_number() OVER (PARTITION BY post_id ORDER BY n DESC, f) AS r FROM per JOIN x USING (author) WHERE n >= 2 AND n_threads >= 2),
 ca AS (SELECT post_id, bool_and(author IN (SELECT author FROM persona_cards)) AS index_ok FROM k WHERE r <= 3 AND post_id IN (SELECT post_id FROM k WHERE r = 3) GROUP BY 1),
