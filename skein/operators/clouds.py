@@ -389,3 +389,18 @@ def vendi_means(rows: DataFrame, size: int = 10, sample: int = 30, repeats: int
         return pd.DataFrame([(*key, value)], columns=[*keys, "win", "value"])
 
     return slim.groupBy(*keys, "win").applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "win long, value double")
+
+
+def late_pooled(rows: DataFrame, size: int = 10, last: int = 3, keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
+    """keys, n, eff_dim, vendi: dimension and diversity of all vectors of the last ``last`` windows together."""
+    keys = list(keys)
+    slim = rows.select(*keys, "pos", "e").filter("e is not null")
+    ends = slim.groupBy(*keys).agg(F.floor(F.max("pos") / size).alias("__w"))
+    late = slim.join(ends, keys).filter(F.floor(F.col("pos") / size) > F.col("__w") - last).drop("__w")  # last * size rows a sequence
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf.sort_values("pos"))
+        return pd.DataFrame([(*key, len(x), spread_and_dim(x)[1], vendi(x))], columns=[*keys, "n", "eff_dim", "vendi"])
+
+    return late.groupBy(*keys).applyInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n long, eff_dim double, vendi double")

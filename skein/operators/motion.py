@@ -168,6 +168,13 @@ def motion_weights(rows: DataFrame, scales: dict[str, float], temperature: float
     return rows.mapInPandas(run, schema)
 
 
+def as_maps(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`motion_weights` with raw_scores, compatibility and weights as maps by motion instead of columns."""
+    columns = {"raw_scores": "r", "compatibility": "c", "weights": "w"}
+    held = {n: F.create_map(*[x for m in MOTIONS for x in (F.lit(m), F.col(f"{k}_{m}"))]) for n, k in columns.items()}
+    return rows.withColumns(held).drop(*[f"{k}_{m}" for k in columns.values() for m in MOTIONS])
+
+
 def nine_class(rows: DataFrame, scales: dict[str, float]) -> DataFrame:
     """Add motion, score and margin: the first of the highest nine raw scores, and its lead."""
     check_scales(scales, 1.0)

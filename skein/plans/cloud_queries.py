@@ -57,6 +57,14 @@ def vendi_windows(spark: SparkSession, d: str) -> DataFrame:
     return clouds.vendi_means(cloud(spark, d)).select("thread_id", "win", *_r("value"))
 
 
+def late_effective_dim(spark: SparkSession, d: str) -> DataFrame:
+    return clouds.late_pooled(cloud(spark, d)).select("thread_id", "n", *_r("eff_dim"))
+
+
+def late_vendi(spark: SparkSession, d: str) -> DataFrame:
+    return clouds.late_pooled(cloud(spark, d)).select("thread_id", *_r("vendi"))
+
+
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows of both sides, thread by thread."""
     keys = ("thread_id", "side")
@@ -92,7 +100,7 @@ def resampled_band(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = (
     "radial_curve s_end_scores quantile_labels dispersion effective_dim corpus_mean_vector centred_curve cloud_series cloud_summary "
-    "vendi_windows cloud_features cloud_weights curve_shapes resampled_band"
+    "vendi_windows late_effective_dim late_vendi cloud_features cloud_weights curve_shapes resampled_band"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -127,6 +135,10 @@ g AS (SELECT a.thread_id, a.win, sum(pow(list_inner_product(CAST(a.embedding AS
     sum(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) FILTER (a.pos = b.pos) AS tr, count(DISTINCT a.pos) AS n
   FROM w a JOIN w b ON a.thread_id = b.thread_id AND a.win = b.win GROUP BY ALL)
 SELECT thread_id, win, round(CASE WHEN n < 2 THEN 1 ELSE tr * tr / k2 END, 6) AS eff_dim FROM g""",
+    "late_effective_dim": _CLOUD + """,
+l AS (SELECT c.thread_id, pos, embedding FROM cloud c JOIN (SELECT thread_id, max(pos) // 10 AS w FROM cloud GROUP BY 1) USING (thread_id) WHERE pos // 10 > w - 3),
+g AS (SELECT a.thread_id, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS k, a.pos = b.pos AS same FROM l a JOIN l b USING (thread_id))
+SELECT thread_id, count(*) FILTER (same) AS n, round(sum(k) FILTER (same) * sum(k) FILTER (same) / sum(k * k), 6) AS eff_dim FROM g GROUP BY 1""",
     "corpus_mean_vector": _CLOUD + " SELECT CAST(d - 1 AS INTEGER) AS d, round(avg(x), 6) AS mu FROM flat GROUP BY 1",
     "curve_shapes": _CLOUD + _CURVE + """,
 late AS (SELECT thread_id, win, sim_first, n_windows, row_number() OVER (PARTITION BY thread_id ORDER BY win DESC) AS r FROM curve),

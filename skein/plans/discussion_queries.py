@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.operators import contracts, discussion, personas, picks
 from skein.operators.discussion import linearise
 from skein.operators.hierarchy import fullname_id
+from skein.operators.orderparams import radial_curve
 from skein.operators.orderparams import text_windows as windows
 from skein.session import cut
 from skein.sources.tables import table
@@ -54,6 +55,13 @@ def hash_embed_300(spark: SparkSession, d: str) -> DataFrame:
     return discussion.hash_embed(titles, 300).select("id", "bucket", *_r("weight"))
 
 
+def hash_radial(spark: SparkSession, d: str) -> DataFrame:
+    """Curve of each thread from hashed vectors of its comments."""
+    t = cut(turns(spark, d).select("post_id", "id", "pos", F.col("body").alias("text")), "turns")
+    v = discussion.hash_vectors(t, 64).select(F.col("post_id").alias("thread_id"), "pos", "e")
+    return radial_curve(v).select("thread_id", "win", *_r("sim_first", "sim_prev"), "n")
+
+
 def post_text(spark: SparkSession, d: str) -> DataFrame:
     return threads(spark, d).select("post_id", F.md5(discussion.post_text(F.col("title"), F.col("selftext"))).alias("text_md5"))
 
@@ -263,7 +271,7 @@ def plot_subsample(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    "clean_comments linearize thread_turns text_windows lexical_growth hash_embed hash_embed_300 post_text clipped_comments unusable_titles orphan_comments "
+    "clean_comments linearize thread_turns text_windows lexical_growth hash_embed hash_embed_300 hash_radial post_text clipped_comments unusable_titles orphan_comments "
     "cross_thread_counts cast_selection alias_first_seen author_stats author_samples verbatim_samples length_spread upper_median token_budgets author_packs "
     "eligibility_manifest history_antijoin card_precedence parsed_cards card_prompts speaking_order merge_first_wins merge_last_wins first_seen_authors "
     "preferred_first eligible_slice wanted_threads label_lookup middle_thread community_rollup replay_violations replay_audit side_lengths failure_counts "
@@ -322,6 +330,17 @@ n AS (SELECT thread_id, count(*) AS n FROM w GROUP BY 1)
 SELECT thread_id, count(*) AS total, CASE WHEN max(n) = 1 THEN count(*) ELSE count(*) - count(*) FILTER (win = 0) END AS growth FROM first JOIN n USING (thread_id) GROUP BY 1""",
     "hash_embed": _hashed(256),
     "hash_embed_300": _hashed(300),
+    "hash_radial": _TURNS + r""",
+w AS (SELECT post_id, pos // 10 AS win, id, unnest(regexp_split_to_array(lower(body), '[\s\p{Z}\x{85}]+')) AS w FROM tu),
+b AS (SELECT post_id, win, id, CAST('0x' || substr(sha256(w), 1, 2) AS INTEGER) % 64 AS b, count(*) AS k FROM w WHERE w <> '' GROUP BY ALL),
+u AS (SELECT post_id, win, b, k / sqrt(sum(k * k) OVER (PARTITION BY post_id, id)) AS x FROM b),
+z AS (SELECT post_id, pos // 10 AS win, count(*) AS n FROM tu GROUP BY 1, 2),
+m AS (SELECT post_id, win, b, sum(x) / max(n) AS x FROM u JOIN z USING (post_id, win) GROUP BY ALL),
+cv AS (SELECT post_id, win, b, x / sqrt(sum(x * x) OVER (PARTITION BY post_id, win)) AS x FROM m),
+f AS (SELECT a.post_id, a.win, sum(a.x * b.x) AS s FROM cv a JOIN cv b ON b.post_id = a.post_id AND b.b = a.b AND b.win = 0 GROUP BY 1, 2),
+p AS (SELECT a.post_id, a.win, sum(a.x * b.x) AS s FROM cv a JOIN cv b ON b.post_id = a.post_id AND b.b = a.b AND b.win = a.win - 1 GROUP BY 1, 2)
+SELECT z.post_id AS thread_id, z.win, round(greatest(-1, least(1, coalesce(f.s, 0))), 6) AS sim_first, round(CASE WHEN z.win = 0 THEN 1 ELSE greatest(-1, least(1, coalesce(p.s, 0))) END, 6) AS sim_prev, z.n
+FROM z LEFT JOIN f USING (post_id, win) LEFT JOIN p USING (post_id, win)""",
     "post_text": _CLEAN + rf""" SELECT post_id, md5(coalesce({_STRIP.format("title")}, '') || CASE WHEN coalesce({_STRIP.format("selftext")}, '') = '' THEN '' ELSE chr(10) || chr(10) || {_STRIP.format("selftext")} END) AS text_md5 FROM th""",
     "clipped_comments": _CLEAN + r""", f AS (SELECT id, regexp_replace(body, '[\s\p{Z}\x{85}]+', ' ', 'g') AS b FROM c)
 SELECT id, CASE WHEN length(b) <= 60 THEN b WHEN contains(substr(b, 1, 60), ' ') THEN trim(regexp_replace(substr(b, 1, 60), ' [^ ]*$', '')) ELSE substr(b, 1, 60) END AS clip FROM f""",
