@@ -73,7 +73,7 @@ def run(spark, rows, **kw):
     return hierarchies(df, F.col("s"), F.col("n"), F.col("p"), **kw)
 
 
-@pytest.mark.parametrize("limit", [200_000, 12, 3])
+@pytest.mark.parametrize("limit", [200_000, 5])
 def test_against_brute_force(spark, limit):
     rows = random_rows(3) + [("a", None, "x", 1)]
     nodes = run(spark, rows, max_local_rows=limit)
@@ -100,9 +100,9 @@ def test_both_routes_count_descendants_alike(spark):
 
 def test_routes_agree_on_differing_parents_and_without_paths(spark):
     rows = random_rows(5) + [("a", "a03", "a01", 0), ("a", "a03", "a02", 0), ("a", "a03", None, 0)]
-    for paths in (True, False):
-        got = [sorted((str(tuple(r)) for r in run(spark, rows, max_local_rows=limit, paths=paths).collect())) for limit in (10**6, 12, 3)]
-        assert got[0] == got[1] == got[2]
+    for paths, small in ((True, 12), (False, 3)):
+        got = [sorted(str(tuple(r)) for r in run(spark, rows, max_local_rows=limit, paths=paths).collect()) for limit in (10**6, small)]
+        assert got[0] == got[1]
 
 
 def test_empty_and_self_link(spark):

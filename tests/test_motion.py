@@ -64,6 +64,8 @@ def test_scales_come_from_the_human_side(spark):
     assert weight_violations(weighted).count() == 0
     row = weighted.first()
     assert row.scales == M.fingerprint(scales) and row.method == M.METHOD and row.temperature == M.TEMPERATURE
+    maps = M.as_maps(weighted).first()
+    assert set(maps.weights) == set(M.MOTIONS) and abs(sum(maps.weights.values()) - 1) < 1e-12 and "w_orbit" not in maps
     mass = M.side_mass(weighted).groupBy("side").agg(F.sum("mean_weight").alias("w")).collect()
     assert all(abs(r.w - 1) < 1e-9 for r in mass)
     by = {(r.side, r.motion): r.mean_weight for r in M.side_mass(weighted).collect()}
