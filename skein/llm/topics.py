@@ -7,7 +7,8 @@ decomposition. A Gaussian mixture, its covariances regularised and its size grow
 Bayesian information criterion stops falling, divides the standardised features; the members of
 highest density stand for their cluster. Counts, features, the start of the mixture, its rounds and
 its size cover all rows, as distinct vectors with their counts. A title none of whose words has
-features makes a cluster with the titles of exactly the same words.
+features makes a cluster with the titles of exactly the same words. Of titles that name no thing,
+the words without features stand for it: those of one cluster share them too.
 """
 
 from __future__ import annotations
@@ -97,14 +98,19 @@ def word_vectors(rows: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarra
 
 def _features(vocab: dict[str, int], vectors: np.ndarray, freq: np.ndarray):
     weight = np.log(1 / np.maximum(freq, 1e-9))[:, None] * vectors
+    # a vector that is nothing but rounding is none
+    known = {w for w, k in vocab.items() if np.linalg.norm(vectors[k]) > 1e-9}
 
     def one(words: list[str]) -> np.ndarray:
         at = [vocab[w] for w in words if w in vocab]
         x = weight[at].sum(0) if at else np.zeros(vectors.shape[1])
         n = np.linalg.norm(x)
-        return x / n if n > 1e-9 else x
+        return x / n if n > 1e-9 else 0 * x
 
-    return one
+    def bare(words: list[str]) -> list[str]:
+        return sorted(w for w in words if w not in known)
+
+    return one, bare
 
 
 class Mixture:
@@ -295,23 +301,26 @@ def _same_question(named: DataFrame) -> dict[int, int]:
 def clusters(titles: DataFrame, key: str, title: str) -> DataFrame:
     """(k, thing, question, density): the thing a title is about and the cluster of what it says.
 
-    Titles that are null have no row; without a thing ``thing`` is null, without any word
-    ``question`` is null. ``density`` ranks the members of a cluster. Repeated titles count each
-    time and land in one cluster; an empty table gives an empty result.
+    Titles that are null have no row; without a thing ``thing`` is null and ``question`` names the
+    words without features besides the cluster, without any word ``question`` is null. ``density``
+    ranks the members of a cluster. Repeated titles count each time and land in one cluster; an
+    empty table gives an empty result.
     """
     spark = titles.sparkSession
     rows = cut(split_title(titles, key, title), "titles")
     shared = spark.sparkContext.broadcast(word_vectors(rows))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _features(*shared.value)
+        one, bare = _features(*shared.value)
         for batch in batches:
-            x = [one(w) for w in batch.column(2).to_pylist()]
+            said = batch.column(2).to_pylist()
+            x = [one(w) for w in said]
             flat = pa.array([v.tolist() if np.any(v) else None for v in x], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), flat], ["k", "thing", "said", "x"])
+            other = ["" if t is not None else " ".join(bare(w)) for t, w in zip(batch.column(1).to_pylist(), said)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(other, pa.string()), flat], ["k", "thing", "said", "other", "x"])
 
     kind = rows.schema["k"].dataType.simpleString()
-    data = cut(rows.mapInArrow(features, f"k {kind}, thing string, said array<string>, x array<double>"), "features")
+    data = cut(rows.mapInArrow(features, f"k {kind}, thing string, said array<string>, other string, x array<double>"), "features")
     # without features: one cluster for each set of words
     words = F.concat(F.lit("words:"), F.array_join(F.array_sort("said"), " "))
     rest = data.filter("x is null").select("k", "thing", F.when(F.size("said") > 0, words).alias("question"), F.lit(None).cast("double").alias("density"))
@@ -338,15 +347,15 @@ def clusters(titles: DataFrame, key: str, title: str) -> DataFrame:
             joint = final.value.log_joint(read(batch)) if batch.num_rows else np.zeros((0, 1))
             at = joint.argmax(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(at, pa.int32()), pa.array(joint.max(1))],
-                ["k", "thing", "question", "density"],
+                [*batch.columns[:3], pa.array(at, pa.int32()), pa.array(joint.max(1))],
+                ["k", "thing", "other", "question", "density"],
             )
 
-    schema = f"k {kind}, thing string, question int, density double"
-    named = cut(data.filter("x is not null").select("k", "thing", "x").mapInArrow(assign, schema), "assigned")
+    schema = f"k {kind}, thing string, other string, question int, density double"
+    named = cut(data.filter("x is not null").select("k", "thing", "other", "x").mapInArrow(assign, schema), "assigned")
     one_of = spark.createDataFrame(list(_same_question(named).items()), "question int, one int")
     # as many rows as the mixture has components
     named = named.join(F.broadcast(one_of), "question", "left").select(
-        "k", "thing", F.coalesce("one", "question").cast("string").alias("question"), "density"
+        "k", "thing", F.rtrim(F.concat_ws(" ", F.coalesce("one", "question"), "other")).alias("question"), "density"
     )
     return named.unionByName(rest)

@@ -36,9 +36,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group of similar threads with its size, communities and most typical titles."""
+    """Each group of similar threads with its size, communities and most typical titles.
+
+    Every title that is no residue is in one group: without a thing, that of its question; with nothing
+    but a thing, that of the thing; with neither (no letters), that of the same title.
+    """
     titles, groups = _groups(spark, sf_dir)
-    rows = groups.filter("thing is not null and question is not null").join(titles, groups["k"] == titles["post_id"])
+    same = F.concat(F.lit("title:"), F.trim(F.lower(F.regexp_replace("title", r"(?U)\s+", " "))))
+    question = F.when(F.col("thing").isNull(), F.coalesce("question", same)).otherwise(F.col("question"))
+    rows = groups.join(titles, groups["k"] == titles["post_id"]).withColumn("question", question)
     first = Window.partitionBy("thing", "question").orderBy(F.desc("density"), "post_id")
     top = rows.withColumn("r", F.row_number().over(first))
     return top.groupBy("thing", "question").agg(

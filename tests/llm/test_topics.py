@@ -2,6 +2,7 @@ import numpy as np
 
 from skein.llm import topics
 from skein.llm.topics import _maximise, _start, _sums, clusters, split_title
+from skein.llm.topics_queries import p7_groups
 
 SAY = {"leak": ["water drips below", "puddle underneath", "leaking at the base"], "noise": ["loud rattle", "noisy start", "strange hum"]}
 FRAME = ["Help with the {x}, {s}", "{x}: {s}", "Is {s} normal for the {x}?"]
@@ -76,3 +77,19 @@ def test_sizes_grow_while_the_criterion_falls(spark, monkeypatch):
     rows = spark.createDataFrame(x, "c long, x array<double>")
     read = lambda b: b.column(b.num_columns - 1).flatten().to_numpy().reshape(-1, topics.DIMENSIONS)
     assert len(topics.fit_rows(rows, read, 900).means) >= 27
+
+
+def test_every_title_is_in_a_group(spark, tmp_path):
+    titles = [f"Zor{chr(97 + t)}x {100 + t}: {say}" for t in range(24) for say in SAY[["leak", "noise"][t % 2]]]
+    odd = {
+        "asked": ["Water drips below the kettle", "KETTLE the - below, drips water!"], "other": ["Water drips below the lamp"],
+        "rare": ["Quark xylo", "xylo: quark?"], "thing": ["Zorax 100", "zorax-100!"], "signs": ["?!  42", " ?! 42"], "more signs": ["?! 43"], "blank": [""],
+    }
+    kind_of = {t: kind for kind, some in odd.items() for t in some}
+    rows = [(f"p{k:03d}", t, "here") for k, t in enumerate([*titles, *kind_of])] + [("null", None, "here")]
+    spark.createDataFrame(rows, "post_id string, title string, subreddit string").write.parquet(f"{tmp_path}/threads.parquet")
+    got = p7_groups(spark, str(tmp_path)).collect()
+    assert sum(r["size"] for r in got) == len(rows) - 1
+    for kind, some in odd.items():
+        groups = [r for r in got if kind_of.get(r.typical.split(" | ")[0]) == kind]
+        assert [r["size"] for r in groups] == [len(some)], kind
